@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, secrets, sharding, shingle_join, warc
+from . import exact_dedup, langid, packing, secrets, sharding, shingle_join, trie_lm, warc
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op3_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_components(documents(spark, sf_dir))
 
 
+@_query
+def op4_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 @_query
 def op6_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
@@ -38,6 +43,11 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir)).drop("blob")
 
 
+@_query
+def op8_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_lm.score_documents(documents(spark, sf_dir))
+
+
 @_query
 def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=8)
