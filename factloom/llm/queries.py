@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing, secrets, sharding, shingle_join, trie_lm, warc
+from . import exact_dedup, iblt, langid, packing, secrets, sharding, shingle_join, trie_lm, warc
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("problem")
 
 
+@_query
+def op2_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_documents(documents(spark, sf_dir))
+
+
 @_query
 def op3_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_components(documents(spark, sf_dir))
