@@ -1,21 +1,49 @@
-"""The training-data pipeline over `documents`: stages that each apply one operator of factloom.llm."""
+"""The training-data pipeline over `documents`: stages that each apply one operator of factloom.llm.
+
+Language ID drops what it can't identify; exact dedup and the shingle join keep one document of each group; mixing draws
+documents to target weights; packing cuts what is left into windows. Every stage but the last returns the columns of
+documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup
+from factloom.llm import exact_dedup, langid, mixing, packing, shingle_join
 from factloom.llm.shared import documents, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs.select(*COLUMNS), least=0.3)
+
+
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs.select(*COLUMNS))
 
 
-STAGES = [("exact dedup", dedup_exact)]
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingle_join.keep_representatives(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample_to_targets(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("exact dedup", dedup_exact),
+    ("near dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
+#: The recurrent network and the packer have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
