@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CAPACITY, PIECE, BLOCK = 2048, 512, 1024
-#: Words in one of the two generations of words whose ids a Python worker remembers.
-CACHE = 200_000
+CAPACITY, PIECE, BLOCK = 2048, 512, 512
+#: Words whose ids a Python worker remembers, and texts that are encoded together.
+CACHE, TOGETHER = 400_000, 64
+
+#: Letters that case or normal forms may turn into something else than letters are encoded one by one.
+_MARKED = re.compile("[^a-z\xdf-\xf6\xf8-\xff]")
+_WIDE = re.compile("[^\x00-\xff]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -31,8 +37,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary never joins tokens over white space, so that each distinct word is encoded once. Texts with special
-    tokens' strings go to the tokenizer whole.
+    The vocabulary never joins tokens over white space, nor over the place between a letter or digit and a full stop or
+    comma that ends a word, and it lower-cases. So each distinct word is encoded once, without what ends it. Texts with
+    special tokens' strings go to the tokenizer whole; only Latin-1 texts are lower-cased here, where that is one to one.
     """
 
     def __init__(self, path: str | None = None):
@@ -43,26 +50,43 @@ class WordEncoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer, self.known, self.cores = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._bytes(m) for m in ("", ".", ",")}
 
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._bytes(text)
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known, self.old = {"": b""}, self.known
-            missing = [w for w in dict.fromkeys(words) if w not in self.known]
-            self.known.update((w, self.old[w]) for w in missing if w in self.old)
-            new = [w for w in missing if w not in self.old]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+    def _learn(self, words: set[str]) -> None:
+        marks, cores = self.marks, self.cores
+        parts = [(w, w[:-1], w[-1]) if w[-1:] in marks and w[-2:-1].isalnum() and w[-2] < "\u0100" else (w, w, "") for w in words]
+        new = {c for _, c, _ in parts}.difference(cores)
+        # a core of letters is one run of the vocabulary, whose last token says that it ends there: these go in one string
+        runs = [c for c in new if c.isalpha() and not _MARKED.search(c)]
+        for k in range(0, len(runs), 256):
+            some = runs[k : k + 256]
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a run of letters isn't one word of the vocabulary")
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            cores.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:]))))
+        rest = list(new.difference(runs))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            cores[w] = array("I", e.ids).tobytes()
+        self.known.update([(w, cores[c] + marks[m]) for w, c, m in parts])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if len(self.cores) > CACHE:
+            self.cores.clear()
+        split = [None if "<|" in t else (t if _WIDE.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*[w for w in split if w is not None]).difference(self.known))
+        get = self.known.__getitem__
+        return [self._bytes(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:
@@ -134,9 +158,14 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, pi
         out.clear()
         return made
 
+    def encoded(rows: pa.RecordBatch) -> Iterator[tuple]:
+        for k in range(0, rows.num_rows, TOGETHER):
+            part = rows.slice(k, TOGETHER)
+            for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                yield doc, ids + tail
+
     for rows in batches:
-        for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
-            ids = encode(text.as_py() or "") + tail
+        for doc, ids in encoded(rows):
             n = len(ids) // 4
             whole = n - n % capacity
             for start in [*range(0, whole, capacity), *range(whole, n, piece)]:
