@@ -5,7 +5,7 @@ written as a first segment and continuation records (WARC-Segment-Number, WARC-S
 on the last). Equal payloads are stored once; the others are revisit records. Spark's text sink writes the files: a
 record's terminator, two line ends, is its line separator, and a bound on records bounds a file.
 
-Reading: files are parsed record by record. Continuations are grouped by their origin identifier, ordered by segment
+Files are compressed. Reading: files are parsed record by record. Continuations are grouped by their origin identifier, ordered by segment
 number and joined; the length is verified against the total, chunked framing is decoded, digests are verified.
 """
 
@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import shared_dir, small, staged
 
 SEGMENT, CHUNK, FILE_RECORDS = 16_384, 4_096, 4_096
 _LINE = b"\r\n"
@@ -81,6 +82,16 @@ def write_records(ident: str, target: str | None, payload: bytes, refers_to: str
         yield _head("continuation", f"{ident}/{k + 1}", more, block[k * segment : (k + 1) * segment])
 
 
+def inflate(data: bytes) -> bytes:
+    """data, or what it holds if it is gzip: one member, or one for each record."""
+    out = []
+    while data.startswith(b"\x1f\x8b"):
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        data = z.unused_data
+    return b"".join(out) or data
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record of an archive."""
     at = 0
@@ -152,7 +163,7 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
         return _batched(rows(), "record binary")
 
     made = pages.select("ident", "target", "payload", "refers_to").mapInArrow(records, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +178,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for data in b.column(0):
-                    for f, block in parse(data.as_py()):
+                    for f, block in parse(inflate(data.as_py())):
                         if "warc-segment-number" not in f and f["warc-type"] in ("response", "revisit"):
                             digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                             yield _decoded((_ident(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), _ident(f.get("warc-refers-to")), digest), block)
@@ -178,7 +189,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for data in b.column(0):
-                    for f, block in parse(data.as_py()):
+                    for f, block in parse(inflate(data.as_py())):
                         if "warc-segment-number" in f:
                             ident = _ident(f["warc-record-id"])
                             digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -230,7 +241,8 @@ def round_trip(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> Data
     large = F.octet_length("payload") >= least
     copies = rows.filter(large).select("page_id", "_key").join(first, F.col("_key") == F.col("_of")).filter(~F.col("page_id").eqNullSafe(F.col("first")))
     copies = copies.groupBy("page_id", "_key").agg(F.first("first").alias("first")).select(F.col("page_id").alias("_id"), F.col("_key").alias("_of"), "first")
-    linked = rows.join(copies.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
+    copies = staged(copies, "copies")
+    linked = rows.join(small(copies.hint("shuffle_hash"), copies.count()), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
     urn = lambda c, key: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.substring(key, 1, 16))
     path = shared_dir(spark, "warc")
     write_archive(linked.select(urn(F.col("page_id"), F.col("_key")).alias("ident"), F.col("url").alias("target"), "payload", F.when(F.col("first").isNotNull(), urn(F.col("first"), F.col("_key"))).alias("refers_to")), path, segment)
