@@ -39,14 +39,17 @@ def fuse(df: DataFrame, sources: tuple[str, str, str] = ("prose", "roc", "page1"
         none = F.lit(None).cast("string")
         return F.struct(F.lit(source).alias("source"), F.lit(level).alias("confidence"), (none if dissent is None else dissent).alias("dissent"))
 
-    third = lambda z, x: F.when(held(z) & ~pair_agrees(x, z), F.lit(z))
+    # each test is a column of its own, so that the rules stay small
+    tests = {"_pr": pair_agrees(p, r), "_pg": pair_agrees(p, g), "_rg": pair_agrees(r, g), "_p": held(p), "_r": held(r), "_g": held(g)}
+    base, df = df.columns, df.withColumns(tests)
+    t = F.col
     rules = [
-        (pair_agrees(p, r), verdict(p, "high", third(g, p))), (pair_agrees(p, g), verdict(p, "high", third(r, p))), (pair_agrees(r, g), verdict(r, "high", third(p, r))),
-        (held(p) & (held(r) | held(g)), verdict(p, "low", F.concat_ws(",", F.when(held(r), F.lit(r)), F.when(held(g), F.lit(g))))),
-        (held(p), verdict(p, "medium")), (held(r) & held(g), verdict(r, "low", F.lit(g))), (held(r), verdict(r, "medium")), (held(g), verdict(g, "low")),
+        (t("_pr"), verdict(p, "high", F.when(t("_g") & ~t("_pg"), F.lit(g)))), (t("_pg"), verdict(p, "high", F.when(t("_r") & ~t("_pr"), F.lit(r)))), (t("_rg"), verdict(r, "high", F.when(t("_p") & ~t("_pr"), F.lit(p)))),
+        (t("_p") & (t("_r") | t("_g")), verdict(p, "low", F.concat_ws(",", F.when(t("_r"), F.lit(r)), F.when(t("_g"), F.lit(g))))),
+        (t("_p"), verdict(p, "medium")), (t("_r") & t("_g"), verdict(r, "low", F.lit(g))), (t("_r"), verdict(r, "medium")), (t("_g"), verdict(g, "low")),
     ]
     chosen = reduce(lambda acc, x: acc.when(*x), rules[1:], F.when(*rules[0])).otherwise(F.struct(F.lit(None).cast("string").alias("source"), F.lit("none").alias("confidence"), F.lit(None).cast("string").alias("dissent")))
-    out = df.withColumn("_v", chosen).select(*df.columns, "_v.source", "_v.confidence", "_v.dissent")
+    out = df.withColumn("_v", chosen).select(*base, "_v.source", "_v.confidence", "_v.dissent")
     pick = lambda end: F.coalesce(*[F.when(F.col("source") == s, F.col(f"{s}_{end}")) for s in sources])
     return out.withColumn("min", pick("min")).withColumn("max", pick("max"))
 

@@ -1 +1,51 @@
-"""Queries."""
+"""Streams over the driver's tables; each runs what is available and returns the state that it leaves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.plans.registry import query, table
+from factloom.sources.database import scratch as _folder
+from factloom.streaming import ingest
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's newest event, merged batch by batch."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")
+    at = _folder(spark, "upsert")
+    ingest.run_available(stream.select("user_id", "event_type", "event_id", "value"), lambda b, _: ingest.upsert(b.sparkSession, b, at, "user_id", "event_id"), _folder(spark, "checkpoint"))
+    return spark.read.schema("user_id long, event_type string, event_id long, value double").parquet(at)
+
+
+@query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by all")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Beyond the reference: hourly event-time windows with a watermark, in complete mode."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    agg = stream.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    out = _folder(spark, "windows")
+    ingest.run_complete(agg, out, _folder(spark, "checkpoint"))
+    return spark.read.parquet(out).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "total")
+
+
+@query("select doc_id, case when n_chars > 5000 then 'deferred' else 'now' end as lane from documents")
+def deferred_lane(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.by_lane(table(spark, d, "documents"), "n_chars", 5000).select("doc_id", "lane")
+
+
+@query("select event_type, min(event_id) as event_id from events group by event_type")
+def queue_order(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.queue(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
+
+
+@query("select lang, count(*) as n from documents group by lang")
+def stream_file_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Files that have settled, streamed and counted; a source that was counted before is counted anew, not added."""
+    schema = table(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
+    out = _folder(spark, "counts")
+    ingest.run_complete(stream.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), out, _folder(spark, "checkpoint"))
+    return spark.read.schema("lang string, n long").parquet(out)
