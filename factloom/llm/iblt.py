@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .shared import small
 
 #: Cells of a sub-table in a block's first sketch, and in the larger ones that follow failures.
-SIZES = (8, 32, 128, 512)
+SIZES = (6, 16, 48, 192)
 #: Paragraphs that a block has at most, on average, before the document gets twice as many blocks.
-BLOCK, ROUNDS = 16, 16
+BLOCK, ROUNDS = 6, 16
 #: A line longer than LEAST characters is cut after a sentence end, at MOST characters at the latest.
 LEAST, MOST = 160, 640
 #: Quantiles of doc_id, and parts of equal width that each interval between them is cut into at most.
@@ -42,13 +42,23 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p))))
 
 
-def blocks_for(n: Column) -> Column:
-    """A power of two, so that n paragraphs are about BLOCK to a block."""
-    return F.when(n <= BLOCK, F.lit(1)).otherwise(F.expr("1").cast("int") * F.pow(F.lit(2), F.ceil(F.log2(n / BLOCK)))).cast("int")
+def exponent(n: Column) -> Column:
+    """k, so that n paragraphs in 2 ** k blocks are BLOCK to a block at most, on average."""
+    return F.when(n <= BLOCK, F.lit(0)).otherwise(F.ceil(F.log2(n / BLOCK))).cast("int")
 
 
-def _block(key: Column, blocks: Column) -> Column:
-    return F.pmod(F.hash(F.lit(17), key), blocks)
+def by_block(k: Column, f: Callable[..., Column], *sets: Column) -> Column:
+    """The array of f over the parts of digest sets in each of 2 ** k blocks. Sets are parted twice, by half of k each."""
+    power = lambda x: F.pow(F.lit(2), x).cast("int")
+    few, rest = power(F.floor(k / 2)), power(k - F.floor(k / 2))
+    part = lambda keys, seed, n, i: F.filter(keys, lambda x: F.pmod(F.hash(F.lit(seed), x), n) == i)
+    names = [f"s{i}" for i in range(len(sets))]
+
+    def outer(i: Column) -> Column:
+        parts = F.struct(*[part(x, 17, few, i).alias(n) for x, n in zip(sets, names)])
+        return _let(parts, lambda p: F.transform(F.sequence(F.lit(0), rest - 1), lambda j: f(*[part(p[n], 23, rest, j) for n in names])))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), few - 1), outer))
 
 
 def _entry(key: Column, size: Column, sign: Column | None = None) -> Column:
@@ -99,11 +109,12 @@ def peel(cells: Column, size: Column) -> Column:
 
         def removed(found: Column) -> Column:
             after = _let(F.transform(found, lambda p: _entry(p.key, size, p.n)), lambda entries: _put(entries, lambda j: acc.cells[f"t{j}"], -1))
-            return F.when(F.size(found) == 0, acc).otherwise(F.struct(after.alias("cells"), F.concat(acc.found, found).alias("found")))
+            ended = F.struct(acc.cells.alias("cells"), acc.found.alias("found"), F.lit(True).alias("done"))
+            return F.when(F.size(found) == 0, ended).otherwise(F.struct(after.alias("cells"), F.concat(acc.found, found).alias("found"), F.lit(False).alias("done")))
 
-        return _let(pure, removed)
+        return F.when(acc.done, acc).otherwise(_let(pure, removed))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(f"array<{_FOUND}>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(f"array<{_FOUND}>").alias("found"), F.lit(False).alias("done"))
     empty = lambda acc: F.forall(acc.cells.t0, lambda c: (c.n == 0) & (c.key == 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct(empty(acc).alias("ok"), acc.found.alias("found")))
 
@@ -121,11 +132,8 @@ def differences(a: Column, b: Column, sizes: tuple[int, ...] = SIZES) -> Column:
         plain = F.concat(mark(F.array_except(x, y), 1), mark(F.array_except(y, x), -1))
         return F.aggregate(F.array(*[F.lit(s) for s in sizes]), none, grow, lambda acc: F.when(acc.ok, acc.found).otherwise(plain))
 
-    def split(blocks: Column) -> Column:
-        part = lambda keys, i: F.filter(keys, lambda k: _block(k, blocks) == i)
-        return F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: block(part(a, i), part(b, i))))
-
-    return F.when(a == b, F.array().cast(f"array<{_FOUND}>")).otherwise(_let(blocks_for(F.greatest(F.size(a), F.size(b))), split))
+    apart = F.flatten(by_block(exponent(F.greatest(F.size(a), F.size(b))), lambda x, y: _let(F.struct(x.alias("x"), y.alias("y")), lambda p: block(p.x, p.y)), a, b))
+    return F.when(a == b, F.array().cast(f"array<{_FOUND}>")).otherwise(apart)
 
 
 def fingerprint(keys: Column) -> Column:
@@ -136,8 +144,7 @@ def fingerprint(keys: Column) -> Column:
         show = lambda c: F.when(c.n == 0, F.lit("")).otherwise(F.concat_ws(":", c.n, F.hex(c.key), F.hex(c.check)))
         return F.concat_ws(";", *[F.concat_ws(",", F.transform(s[f"t{j}"], show)) for j in range(3)])
 
-    split = lambda blocks: F.concat_ws("|", F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: one(F.filter(keys, lambda k: _block(k, blocks) == i))))
-    return _let(blocks_for(F.size(keys)), split)
+    return F.concat_ws("|", by_block(exponent(F.size(keys)), one, keys))
 
 
 def likeness(a: Column, b: Column, found: Column) -> Column:
