@@ -26,7 +26,7 @@ from .shingle_join import _BASE, _BYTES, _mixed, _power
 
 ORDER, LEAST, DISCOUNT = 3, 2, 0.75
 #: Tokens that a task looks at together.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Quantised values are -log10 of a probability, in steps of 1 / STEP.
 STEP = 6_000
 
