@@ -69,3 +69,33 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
        doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n
 """
+
+ORACLE["op3_token_groups"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+i as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from w where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[k : k + 4], ' ') as g from i),
+n as (select w.doc_id, count(s.g) as n from w left join s using (doc_id) group by w.doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+r as (select doc_id as x, doc_id as y from documents union select r.x, l.y from r join l on l.x = r.y)
+select r.x as doc_id, any_value(n.n) as n_shingles, min(r.y) as component_id from r join n on n.doc_id = r.x group by r.x
+"""
+
+ORACLE["op7_blob_ledger"] = r"""
+with k(kind, rank, pattern, grp, least) as (values ('assign', 0, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6), ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24)),
+d as (select doc_id, coalesce(text, '') as t from documents),
+m as (select doc_id, kind, rank, least, regexp_extract_all(t, pattern) as f, case when grp = 2 then regexp_extract_all(t, pattern, 2) else regexp_extract_all(t, pattern) end as h, regexp_split_to_array(t, pattern) as g from d, k where regexp_matches(t, pattern)),
+u as (select doc_id, kind, rank, least, unnest(range(1, len(f) + 1)) as i, unnest(f) as f, unnest(h) as h, unnest(g[1 : len(f)]) as g from m),
+p as (select doc_id, kind, rank, length(h) >= least as ok, sum(length(g) + length(f)) over (partition by doc_id, kind order by i) as e, length(f) as n from u),
+x as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || (e - n)::bigint || ':' || e::bigint, ',' order by e - n, rank) as s from p where ok group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(s, '')) as base_sha256, coalesce(s, '') as spans from d left join x using (doc_id)
+"""
+
+ORACLE["op1_warc_segments"] = """
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages)
+select page_id, octet_length(encode(t))::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::bigint + 1, 1)), '') as payload_digest,
+  case when page_id = min(page_id) over (partition by t) then 'response' else 'revisit' end as record_type,
+  case when page_id <> min(page_id) over (partition by t) then min(page_id) over (partition by t) end as refers_to
+from p
+"""
