@@ -1,4 +1,4 @@
-"""Joins of the reference's kinds over the driver's tables."""
+"""Record matching over the driver's tables."""
 
 from __future__ import annotations
 

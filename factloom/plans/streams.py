@@ -22,7 +22,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Beyond the reference: hourly event-time windows with a watermark, in complete mode."""
+    """An extension: hourly event-time windows with a watermark, in complete mode."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     agg = stream.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
