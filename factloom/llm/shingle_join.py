@@ -7,8 +7,10 @@
    dealt; the cut leaves ten standard deviations above n // 4 tokens, so that the bound holds and stays sharp.
 3. The rest is partitioned into groups of similar nodes by min-hashes; within chunks of a group, nodes link to leaders.
    The connected components of those links are the groups of the matrix; a group's row is the union of its tokens.
-4. The same deal, now with groups instead of nodes, leaves the nodes that share enough with other groups' unions. For
-   those the matrix bounds each (node, group) overlap, and only groups that reach the bound are opened and compared.
+4. The same deal, now with groups instead of nodes, leaves the nodes that share enough with other groups' unions. Of two
+   linked sets the smaller, of n tokens, lacks n // 7 at most in the larger. So each node asks with its rarest n // 7 + 1
+   tokens, and is answered by groups with members of n to 4n / 3 tokens: passages that many documents share list no pairs.
+   The matrix bounds each (node, group) overlap on those, and only groups that reach the bound are opened and compared.
 5. A link between two groups joins them. No pair within a group is ever listed.
 
 Nothing is capped: chunks bound memory, and every group that qualifies is opened in all its chunks.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small, staged
@@ -87,9 +89,13 @@ def _batch(**columns) -> pa.RecordBatch:
 _DEALT = "bucket int, nodes binary, groups binary, sizes binary, counts binary, tokens binary"
 
 
-def _deal(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """rows: (node, group, tokens). One packed row for each bucket and flush, in the order of its nodes."""
-    nodes, groups, sets, held = [], [], [], 0
+#: Bits of an entry's size; a node's limit stands above them.
+_SIZE = 26
+
+
+def _deal(rows: Iterator[tuple[int, int, np.ndarray, int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """rows: (node, group, tokens, limit). One packed row for each bucket and flush, in the order of its nodes."""
+    nodes, groups, sets, limits, held = [], [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         n = np.array([len(t) for t in sets], np.uint32)
@@ -103,6 +109,7 @@ def _deal(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int) -> Iterator
         order = np.argsort(bucket, kind="stable")
         every, which, bucket = (every[order] >> _U(32)).astype(np.uint32), which[order], bucket[order]
         ids, grp = np.array(nodes, np.int64), np.array(groups, np.int64)
+        n |= np.array(limits, np.uint32) << np.uint32(_SIZE)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         out = []
         for b in range(buckets):
@@ -114,12 +121,14 @@ def _deal(rows: Iterator[tuple[int, int, np.ndarray]], buckets: int) -> Iterator
                 same = np.array_equal(ids[own], grp[own])
                 out.append((b, ids[own].tobytes(), b"" if same else grp[own].tobytes(), n[own].tobytes(), counts.astype(np.uint16 if counts.max() < 65536 else np.uint32).tobytes(), every[lo:hi].tobytes()))
         kinds = [pa.int32()] + [pa.binary()] * 5
-        nodes.clear(), groups.clear(), sets.clear()
+        nodes.clear(), groups.clear(), sets.clear(), limits.clear()
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["bucket", "nodes", "groups", "sizes", "counts", "tokens"])
 
-    for node, group, tokens in rows:
+    for node, group, tokens, limit in rows:
+        if len(tokens) >> _SIZE:
+            raise ValueError("a set of more than 2 ** 26 tokens")
         if len(tokens):
-            nodes.append(node), groups.append(group), sets.append(tokens)
+            nodes.append(node), groups.append(group), sets.append(tokens), limits.append(limit)
             held += len(tokens)
             if held >= FLUSH:
                 yield flush()
@@ -141,33 +150,51 @@ def _bucket(table: pa.Table) -> tuple[np.ndarray, ...]:
     return token[order], node[order], group[order], size[order]
 
 
-def _shared(token: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether the token of each entry, in token order, occurs in more than one group."""
-    new = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
-    many = np.minimum.reduceat(group, new) != np.maximum.reduceat(group, new)
-    return np.repeat(many, np.diff(np.append(new, len(token))))
+def _classes(token: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each entry, in token order: in how many groups its token occurs, as the bits of that number less one."""
+    order = np.lexsort((group, token))
+    token, group = token[order], group[order]
+    first = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
+    other = np.ones(len(token), np.int64)
+    other[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
+    many = np.add.reduceat(other, first) if len(first) else other
+    return np.repeat(np.ceil(np.log2(many)).astype(np.int64), np.diff(np.append(first, len(token))))
 
 
 def _counts(table: pa.Table) -> pa.Table:
+    """How many of each node's tokens, as far as it is looked at, occur in other groups too."""
     token, node, group, size = _bucket(table)
-    hit = _shared(token, group) & (token < _cut(size))
+    hit = (_classes(token, group) > 0) & (token < _cut(size))
     ids, n = np.unique(node[hit], return_counts=True)
     return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def _overlaps(table: pa.Table) -> pa.Table:
-    """For each node and other group with a larger id: how many of the node's tokens the group's union has."""
+def _spread(table: pa.Table) -> pa.Table:
+    """How many of each node's tokens are in each class."""
     token, node, group, size = _bucket(table)
-    keep = _shared(token, group)
-    token, node, group, size = token[keep], node[keep], group[keep], size[keep]
+    seen = token < _cut(size)
+    kind = _classes(token, group)[seen]
+    names, back = np.unique(node[seen], return_inverse=True)
+    both, n = np.unique(back << 6 | kind, return_counts=True)
+    return pa.table({"id": pa.array(names[both >> 6], pa.int64()), "kind": pa.array(both & 63, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _overlaps(table: pa.Table) -> pa.Table:
+    """For each node and other group: how many of the node's rare tokens the union of the group's members has that are as
+    large as the node, or larger by a third at most."""
+    token, node, group, packed = _bucket(table)
+    kind, size = _classes(token, group), (packed & np.uint32((1 << _SIZE) - 1)).astype(np.int64)
+    asks = (token < _cut(size)) & (kind <= packed >> np.uint32(_SIZE)) & (kind > 0)
     new = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
     found: dict[tuple[int, int], int] = {}
     for lo, hi in zip(new, np.append(new[1:], len(token))):
-        union = np.unique(group[lo:hi])
-        seen = token[lo] < _cut(size[lo:hi])
-        for q, own in {(a, b) for a, b, s in zip(node[lo:hi].tolist(), group[lo:hi].tolist(), seen.tolist()) if s}:
-            for g in union[np.searchsorted(union, own, "right") :].tolist():
-                found[q, g] = found.get((q, g), 0) + 1
+        if asks[lo:hi].any():
+            order = lo + np.argsort(size[lo:hi], kind="stable")
+            sizes, groups = size[order], group[order]
+            for q, own, n in {(a, b, n) for a, b, n, s in zip(node[lo:hi].tolist(), group[lo:hi].tolist(), size[lo:hi].tolist(), asks[lo:hi].tolist()) if s}:
+                for g in set(groups[np.searchsorted(sizes, n) : np.searchsorted(sizes, 4 * n // 3, "right")].tolist()):
+                    if g != own:
+                        found[q, g] = found.get((q, g), 0) + 1
     q, g = zip(*found) if found else ((), ())
     return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(g, pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
@@ -256,7 +283,7 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 for t in b.column(0):
                     s = shingles(t.as_py(), words)
                     k = int(node_of(s)[:15], 16)
-                    yield k, k, s
+                    yield k, k, s, 0
 
         return _deal(rows(), buckets)
 
@@ -304,27 +331,34 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def dealt_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for k, g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    yield k, g, np.frombuffer(t.as_py(), _U)
+                for k, g, t, limit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                    yield k, g, np.frombuffer(t.as_py(), _U), limit
 
         return _deal(rows(), buckets)
 
     grouped = staged(grouped.select("id", "group", "tokens", "n", "seen"), "grouped")
-    outside = grouped.select("id", "group", "tokens").mapInArrow(dealt_groups, _DEALT).groupBy("bucket").applyInArrow(_counts, "id long, n long")
+    outside = grouped.select("id", "group", "tokens", F.lit(0).alias("limit")).mapInArrow(dealt_groups, _DEALT).groupBy("bucket").applyInArrow(_counts, "id long, n long")
     outside = outside.groupBy("id").agg(F.sum("n").alias("shared"))
     left = staged(grouped.join(outside, "id").filter(f"shared >= seen - {_missing_allowed('n')}").drop("shared"), "left")
     links = star
     if left.take(1):
-        bounds = left.select("id", "group", "tokens").mapInArrow(dealt_groups, _DEALT).groupBy("bucket").applyInArrow(_overlaps, "id long, other long, n long")
+        spread = left.select("id", "group", "tokens", F.lit(0).alias("limit")).mapInArrow(dealt_groups, _DEALT).groupBy("bucket").applyInArrow(_spread, "id long, kind long, n long")
+        sums = F.sum("n").over(Window.partitionBy("id").orderBy("kind"))
+        rare = spread.groupBy("id", "kind").agg(F.sum("n").alias("n")).select("id", "kind", sums.alias("rare"))
+        rare = left.select("id", "n").join(rare, "id").filter("rare > floor(n / 7)").groupBy("id").agg(F.min(F.struct("kind", "rare")).alias("at")).select("id", F.col("at.kind").cast("int").alias("limit"), "at.rare")
+        # a limit of 0: the node's rarest tokens are all its group's own, so that no larger one outside links with it
+        left = staged(left.drop("seen").join(rare, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(0))), "left-rare")
+        bounds = left.select("id", "group", "tokens", "limit").mapInArrow(dealt_groups, _DEALT).groupBy("bucket").applyInArrow(_overlaps, "id long, other long, n long")
         bounds = bounds.groupBy("id", "other").agg(F.sum("n").alias("bound"))
-        queries = left.select("id", "tokens", "n", "seen").join(bounds, "id").filter(f"bound >= seen - {_missing_allowed('n')}").select("id", "tokens", "other")
+        asked = staged(bounds.join(left.select("id", "n", "rare"), "id").filter("bound >= rare - floor(n / 7)").select("id", "other"), "asked")
+        # only groups that are asked are opened: in chunks of members, and in turns of queries
+        turns = asked.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("turns"))
         chunks = left.groupBy(F.col("group").alias("other")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-        queries = queries.join(chunks, "other").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        # a group that many ask for is opened in as many tasks
-        turns = 8
-        queries = queries.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int")).select("other", "chunk", "turn", "id", "tokens")
-        members = left.select(F.col("group").alias("of"), F.col("id").alias("member"), F.col("tokens").alias("words")).join(chunks.select(F.col("other").alias("of"), F.col("chunks").alias("parts")), "of")
-        members = members.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).select("of", "part", "round", "member", "words")
+        shape = staged(turns.join(chunks, "other"), "shape")
+        queries = asked.join(shape, "other").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int"))
+        queries = queries.join(left.select("id", "tokens"), "id").select("other", "chunk", "turn", "id", "tokens")
+        members = left.select(F.col("group").alias("of"), F.col("id").alias("member"), F.col("tokens").alias("words")).join(shape.select(F.col("other").alias("of"), "turns", "chunks"), "of")
+        members = members.withColumn("part", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("of", "part", "round", "member", "words")
         links = star.union(queries.groupBy("other", "chunk", "turn").cogroup(members.groupBy("of", "part", "round")).applyInArrow(_opened, "a long, b long"))
     final = components(links, "components")
     named = nodes.select("node", "id", "rep").join(final, "id", "left").withColumn("group", F.coalesce("group", "id"))
