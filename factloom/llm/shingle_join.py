@@ -211,17 +211,29 @@ def _sets(table: pa.Table, name: str = "tokens") -> list[np.ndarray]:
 
 
 def _star(table: pa.Table) -> pa.Table:
-    """Links of a chunk: each node, the group's leader first, to the first leader it links with, else it leads."""
+    """Links of a chunk: each node, the group's leader first, to a leader of every component that it links with, which
+    joins those; a node that links with none leads."""
     table = table.sort_by([("leads", "descending"), ("node", "ascending")])
     ids, sets = table.column("id").to_pylist(), _sets(table)
-    leaders, a, b = [], [], []
+    top: dict[int, int] = {}
+    a, b = [], []
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
     for i, s in enumerate(sets):
-        for k in leaders:
-            if _linked(s, sets[k]):
+        own = None
+        for k in list(top):
+            if root(k) != own and _linked(s, sets[k]):
                 a.append(ids[i]), b.append(ids[k])
-                break
-        else:
-            leaders.append(i)
+                if own is not None:
+                    top[own] = root(k)
+                own = root(k)
+        if own is None:
+            top[i] = i
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -319,7 +331,7 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         groups = sets.groupBy(F.col(f"h{r}").alias("head")).agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).filter("members > 1")
         groups = groups.withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
         rows = sets.select("id", "node", "tokens", F.col(f"h{r}").alias("head")).join(groups, "head").withColumn("leads", F.col("node") == F.col("leader"))
-        own = F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        own = F.array(F.pmod(F.xxhash64("node", F.lit(r)), F.col("chunks")).cast("int"))
         rows = rows.withColumn("chunk", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
         edges.append(rows.select("head", "chunk", "id", "node", "tokens", "leads").groupBy("head", "chunk").applyInArrow(_star, "a long, b long"))
     star = edges[0]
