@@ -86,7 +86,7 @@ def rake(cells: DataFrame, alone: bool) -> DataFrame:
 
 
 def calibrated(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs (all columns) with the cell columns, _tokens and the probability with which each document is drawn."""
+    """docs (all columns) with the cell columns, _tokens, _ratio (calibrated share a token) and _chance, the probability of being drawn."""
     rows = celled(docs)
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens")), "cells")
     n = cells.count()
@@ -94,16 +94,29 @@ def calibrated(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = Non
     ratio = raked.withColumn("_ratio", F.col("weight") / F.col("tokens"))
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
     top = ratio.filter(F.col("tokens") >= MINOR * total).agg(F.max("_ratio")).first()[0] or ratio.agg(F.max("_ratio")).first()[0] or 1.0
-    chance = ratio.select(*[F.col(d).alias(f"{d}_") for d in DIMENSIONS], F.least(F.lit(1.0), F.col("_ratio") / F.lit(top)).alias("_chance"))
+    chance = ratio.select(*[F.col(d).alias(f"{d}_") for d in DIMENSIONS], "_ratio", F.least(F.lit(1.0), F.col("_ratio") / F.lit(top)).alias("_chance"))
     on = [F.col(d) == F.col(f"{d}_") for d in DIMENSIONS]
     return rows.join(small(chance, n), on).drop(*[f"{d}_" for d in DIMENSIONS])
 
 
+def _drawn() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) / F.lit(float(1 << 53)) < F.col("_chance")
+
+
+def calibrate_documents(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, probability and drawn for every row.
+
+    weight is the row's calibrated share: those of a source, language or topic sum to its target. Sources and languages
+    are as in docs (nulls stay null). Extra columns are ignored; otherwise as sample_to_targets.
+    """
+    rows = calibrated(docs.select("doc_id", "text", "lang", "source"), wanted)
+    return rows.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"), (F.col("_ratio") * F.col("_tokens")).alias("weight"), F.col("_chance").alias("probability"), _drawn().alias("drawn"))
+
+
 def sample_to_targets(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The rows of docs (all columns) that are drawn.
 
     Null sources and languages are values of their own; null and empty texts weigh one token. Rows that share a doc_id
     share their draw. An empty table gives no rows.
     """
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    return calibrated(docs, wanted).filter(draw < F.col("_chance")).select(*docs.columns)
+    return calibrated(docs, wanted).filter(_drawn()).select(*docs.columns)

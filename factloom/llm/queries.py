@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, iblt, langid, packing, secrets, sharding, shingle_join, trie_lm, warc
+from . import exact_dedup, iblt, langid, mixing, packing, secrets, sharding, shingle_join, trie_lm, warc
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op4_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+@_query
+def op5_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.calibrate_documents(documents(spark, sf_dir))
+
+
 @_query
 def op6_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
