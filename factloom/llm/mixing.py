@@ -10,10 +10,14 @@ Up to BROADCAST_ROWS cells are raked in one task, whose windows need no exchange
 
 from __future__ import annotations
 
+import math
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, small, staged
+from .shared import BROADCAST_ROWS, forget, small, staged
 
 DIMENSIONS = ("_source", "_lang", "_topic")
 #: Exponent on present shares that gives the default targets: below 1, small sources gain.
@@ -67,22 +71,39 @@ def _sums(cells: DataFrame, d: str, alone: bool) -> DataFrame:
 
 
 def rake(cells: DataFrame, alone: bool) -> DataFrame:
-    """cells (dimensions, tokens, _to_<dimension>) with weight: shares that meet the targets as closely as cells can."""
+    """cells (dimensions, tokens, _to_<dimension>) with weight, shares that meet the targets as closely as cells can, and gap.
+
+    Both ways of raking take the same rounds: ROUNDS more until no share of a source, language or topic is CLOSE or more
+    off its target, MOST_ROUNDS at most. gap is the largest distance that is left; CLOSE or more of it also warns (cells
+    whose targets contradict each other never get there).
+    """
     total = cells.agg(F.sum("tokens")).first()[0]
     out = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     if not total:
-        return out
-    for _ in range(MOST_ROUNDS // ROUNDS):
-        for _ in range(ROUNDS if alone else 1):
+        return out.withColumn("gap", F.lit(0.0))
+    done, gap, kept = 0, math.inf, None
+    while done < MOST_ROUNDS and gap >= CLOSE:
+        rounds = min(ROUNDS, MOST_ROUNDS - done)
+        for k in range(rounds):
             for d in DIMENSIONS:
                 ratio = F.when(F.col("_sum") > 0, F.col(f"_to{d}") / F.col("_sum")).otherwise(F.lit(0.0))
                 out = _sums(out.coalesce(1) if alone else out, d, alone).withColumn("weight", F.col("weight") * ratio).drop("_sum")
-        out = staged(out, "raked")
-        first = out.groupBy(DIMENSIONS[0]).agg(F.sum("weight").alias("s"), F.first(f"_to{DIMENSIONS[0]}").alias("t"))
-        second = out.groupBy(DIMENSIONS[1]).agg(F.sum("weight").alias("s"), F.first(f"_to{DIMENSIONS[1]}").alias("t"))
-        if (first.select("s", "t").union(second.select("s", "t")).agg(F.max(F.abs(F.col("s") - F.col("t")))).first()[0] or 0) < CLOSE:
-            break
-    return out
+            if not alone or k == rounds - 1:
+                out = staged(out, "raked")
+                if kept is not None:
+                    forget(kept)
+                kept = out
+        done += rounds
+        gap = _gap(out)
+    if gap >= CLOSE:
+        warnings.warn(f"raking: after {done} rounds a share is {gap:.3g} off its target", stacklevel=2)
+    return out.withColumn("gap", F.lit(gap))
+
+
+def _gap(cells: DataFrame) -> float:
+    """The largest distance between the share of a value of any dimension and its target."""
+    off = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"_to{d}")).alias("off")).select("off") for d in DIMENSIONS]
+    return reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
 
 
 def calibrated(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:

@@ -32,6 +32,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table that staged returned as df."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(path: str) -> str:
     """The POSIX path of a shared folder, for files that are memory-mapped."""
     if path.startswith("file:"):

@@ -51,3 +51,34 @@ def test_op5_takes_every_kind_of_row(spark):
     got = mixing.calibrate_documents(docs(spark)).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in TEXTS)
     assert mixing.calibrate_documents(docs(spark, [])).count() == 0
+
+
+def linked(spark):
+    """Cells whose source and language go together, so that 10 rounds of raking leave a share 2e-5 off."""
+    rows = [(f"s{i}", f"l{j}", "prose", 1.0 + 3 * (j == i % 4) * (1 + i % 7)) for i in range(8) for j in range(4)]
+    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens double").coalesce(1)
+    return mixing.targets(cells).cache()
+
+
+def off_target(rows):
+    """The largest distance between a share and its target, added up from the rows."""
+    off = collections.Counter()
+    for r in rows:
+        for d in mixing.DIMENSIONS:
+            off[d, r[d], r[f"_to{d}"]] += r.weight
+    return max(abs(x - to) for (_, _, to), x in off.items())
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_both_ways_of_raking_meet_one_tolerance(spark, alone):
+    rows = mixing.rake(linked(spark), alone).collect()
+    assert off_target(rows) < mixing.CLOSE
+    assert len({r.gap for r in rows}) == 1 and rows[0].gap == pytest.approx(off_target(rows), abs=1e-12)
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_raking_reports_what_it_misses(spark, alone, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 5)
+    with pytest.warns(UserWarning, match="off its target"):
+        rows = mixing.rake(linked(spark), alone).collect()
+    assert len({r.gap for r in rows}) == 1 and rows[0].gap == pytest.approx(off_target(rows)) and rows[0].gap > mixing.CLOSE
