@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import filing
+from factloom.operators import dedup, filing
 from factloom.plans.registry import query, table
 
 _PLAN = """with n as (select doc_id as key, text as digest, case when n_chars >= 500 then left(text, 60) end as print, source || lang as family, doc_id % 40 as version, source as name from documents where doc_id % 2 = 1),
@@ -27,6 +27,23 @@ def filing_plan(spark: SparkSession, d: str) -> DataFrame:
     return filing.plan(rows.filter("key % 2 = 1").drop("folder"), library, [("[34]$", "ruled")])
 
 
+_LINES = "len(string_split(text, chr(10)))::varchar"
+_PRINT = rf"case when length(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g')) >= 500 then {_LINES} || ':' || sha256(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g')) end"
+_ALL = _PLAN.replace("case when n_chars >= 500 then left(text, 60) end", _PRINT).replace("doc_id % 2 = 0 and source not in ('src3', 'src4', 'src5')", "doc_id % 2 = 0")
+assert _ALL.count(_PRINT) == 2 and "src3" not in _ALL
+
+
+@query(_ALL)
+def filing_plan_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every odd document against every even one; the print is the number of lines and the digest of the whole normalised text."""
+    lines = F.size(F.split("text", "\n")).cast("string")
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("key"), F.sha2("text", 256).alias("digest"), F.concat(lines, F.lit(":"), dedup.fingerprint(F.col("text"))).alias("print"),
+        F.concat("source", "lang").alias("family"), (F.col("doc_id") % 40).alias("version"), F.col("source").alias("name"), F.col("lang").alias("folder"),
+    )
+    return filing.plan(rows.filter("key % 2 = 1").drop("folder"), rows.filter("key % 2 = 0"), [("[34]$", "ruled")])
+
+
 @query("""select o_orderkey, unnest(list_filter([case when o_totalprice > 400000 then 'too_large' end, case when o_orderpriority = '5-LOW' and o_orderstatus = 'P' then 'low_pending' end, case when o_custkey % 10 = 0 then 'round_customer' end], lambda x: x is not null)) as refused from orders""")
 def plan_violations(spark: SparkSession, d: str) -> DataFrame:
     checks = {"too_large": F.col("o_totalprice") > 400000, "low_pending": (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"), "round_customer": F.col("o_custkey") % 10 == 0}
