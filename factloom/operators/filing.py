@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators.matching import first_rule
 
+#: Ranges in which a journal is numbered; each is a task.
+UNDO_RANGES = 64
+
 
 def plan(new: DataFrame, library: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(key, action, folder, reason) for new (key, digest, print, family, version, name) against library (digest, print, family, version, folder).
@@ -44,9 +47,21 @@ def replay(journal: DataFrame) -> DataFrame:
 
 
 def undo(journal: DataFrame) -> DataFrame:
-    """The ops that take a journal back, in the order in which they must run."""
+    """The ops (op_seq, op, path, each op_seq once) that take a journal back, with the step from 1 at which each must run.
+
+    Ranges of op_seq are ranked each by itself, and start after the counts of the ranges above them. Cuts between ranges
+    are sampled, so they are written down by value: the ranks and the counts see the same ranges.
+    """
     back = F.create_map(*[F.lit(x) for x in ("create", "delete", "delete", "create", "move", "move")])
-    return journal.select("op_seq", F.coalesce(back[F.col("op")], F.col("op")).alias("op"), "path").withColumn("step", F.row_number().over(Window.orderBy(F.desc("op_seq"))))
+    rows = journal.select("op_seq", F.coalesce(back[F.col("op")], F.col("op")).alias("op"), "path")
+    cuts = sorted(set(rows.approxQuantile("op_seq", [k / UNDO_RANGES for k in range(1, UNDO_RANGES)], 0.01)))
+    ranged = rows.withColumn("_range", reduce(lambda a, b: a + b, [F.coalesce((F.col("op_seq") <= c).cast("int"), F.lit(1)) for c in cuts], F.lit(0)))
+    before, counts = {}, dict(ranged.groupBy("_range").count().collect())
+    for r in sorted(counts):
+        before[r] = sum(n for k, n in counts.items() if k < r)
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_range")] if before else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("op_seq")))
+    return ranged.withColumn("step", (rank + start).cast("long")).drop("_range")
 
 
 def corrections(fixes: DataFrame, allowed: list[str]) -> DataFrame:

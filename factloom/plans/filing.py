@@ -61,6 +61,12 @@ def journal_undo(spark: SparkSession, d: str) -> DataFrame:
     return filing.undo(table(spark, d, "orders").filter("o_custkey = 7").select(F.col("o_orderkey").alias("op_seq"), op.alias("op"), F.col("o_custkey").alias("path")))
 
 
+@query("select o_orderkey as op_seq, case o_orderstatus when 'F' then 'delete' when 'O' then 'create' else 'move' end as op, o_custkey as path, row_number() over (order by o_orderkey desc) as step from orders")
+def journal_undo_all(spark: SparkSession, d: str) -> DataFrame:
+    op = F.when(F.col("o_orderstatus") == "F", "create").when(F.col("o_orderstatus") == "O", "delete").otherwise("move")
+    return filing.undo(table(spark, d, "orders").select(F.col("o_orderkey").alias("op_seq"), op.alias("op"), F.col("o_custkey").alias("path")))
+
+
 _FIX = "case l_linenumber % 5 when 0 then 'nothing' when 1 then ' Size = ' || l_quantity::int::varchar when 2 then '= 3' when 3 then 'type =' else 'price = ' || l_suppkey::varchar end"
 
 

@@ -96,6 +96,14 @@ def known_answers(spark: SparkSession, d: str) -> DataFrame:
     return e.join(f, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", F.coalesce(F.abs(F.col("want") - F.col("got")) <= 0.005 * F.greatest("want", "got"), F.lit(False)).alias("met"))
 
 
+@query("""with e as (select p_partkey, p_size * 2 as want from part), f as (select l_partkey, max(l_quantity) as got from lineitem group by 1)
+select p_partkey, coalesce(abs(want - got) <= 0.005 * greatest(want, got), false) as met from e left join f on l_partkey = p_partkey""")
+def known_answers_all(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2).alias("want"))
+    f = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity").alias("got"))
+    return e.join(f, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", F.coalesce(F.abs(F.col("want") - F.col("got")) <= 0.005 * F.greatest("want", "got"), F.lit(False)).alias("met"))
+
+
 @query("""select p_brand, p_type from part where p_size < 25 intersect select p_brand, p_type from part where p_size >= 25""")
 def set_intersection(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")

@@ -89,5 +89,7 @@ def text_repairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def column_streams(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat_ws("     ", F.element_at(F.split("text", "\n"), 1), F.lit("right side"), F.col("source"))
-    return table(spark, d, "documents").select("doc_id", F.inline(scalars.column_streams(line)))
+    """Down the page: the segments of every line, numbered from 1."""
+    lines = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    line = F.concat_ws("     ", "x", F.lit("right side"), "source")
+    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), F.inline(scalars.column_streams(line)))

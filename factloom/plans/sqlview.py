@@ -43,6 +43,13 @@ def sql_readings(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("select p.doc, key, source, r.min, r.max from params p join readings r on r.doc = p.doc where p.doc = 17")
 
 
+@query(_PARAMS + """ select p.doc, key, r.source, r.min, r.max from params p join (select k, 'prose' as source, prose_min as min, prose_max as max from readings union all select k, 'roc', roc_min, roc_max from readings union all select k, 'page1', page1_min, page1_max from readings) r on r.k = p.doc
+where (r.min is not null or r.max is not null)""")
+def sql_readings_all(spark: SparkSession, d: str) -> DataFrame:
+    views(spark, d, "params", "readings")
+    return spark.sql("select p.doc, key, source, r.min, r.max from params p join readings r on r.doc = p.doc")
+
+
 @query("select doc_id as doc, len(string_split(text, chr(10))) as pages, left(text, 40) as title from documents where left(text, 40) ilike '%the%' and lang = 'en'")
 def sql_title_filter(spark: SparkSession, d: str) -> DataFrame:
     views(spark, d, "documents_v")
