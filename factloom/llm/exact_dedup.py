@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, staged
+from .shared import one_of_each, staged
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -70,17 +70,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs (all columns, of kinds that can be ordered) that exact_groups keeps; of rows equal in doc_id and text, the smallest.
 
-    Only rows of such keys are compared whole, as a minimum that each map task takes first.
+    Null texts count as empty, and one of those stays; a null doc_id stays only where its group has no other. Very long
+    texts are chunked whole; an empty table gives no rows.
     """
-    names = docs.columns
-    groups = exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
-    groups = staged(groups, "kept")
-    keyed = docs.withColumn("_sha", F.sha2(normalise(F.col("text")), 256))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
-    once = keyed.join(groups.filter("_n = 1").hint("shuffle_hash"), on, "left_semi").select(*names)
-    repeats = groups.filter("_n > 1")
-    n = repeats.count()
-    if not n:
-        return once
-    again = keyed.join(small(repeats, n), on, "left_semi").groupBy("doc_id", "_sha").agg(F.min(F.struct(*names)).alias("_row"))
-    return once.unionByName(again.select("_row.*"))
+    keys = exact_groups(docs).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("rows"))
+    return one_of_each(docs, keys, F.sha2(normalise(F.col("text")), 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (a few longs a row) may be broadcast; beyond it, joins shuffle.
@@ -56,3 +56,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast if rows is within BROADCAST_ROWS, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame, sha: Column) -> DataFrame:
+    """The rows of docs (all columns) whose doc_id and sha are in keys; of rows that share both, the smallest.
+
+    keys: distinct (doc_id, sha, rows), rows being how many rows of docs have them. Only rows of keys that repeat are
+    compared whole, as a minimum that each map task takes first.
+    """
+    names, own, of, at, row = docs.columns, *[unused(docs, n) for n in ("_sha", "_of", "_at", "_row")]
+    keys = staged(keys.select(F.col("doc_id").alias(at), F.col("sha").alias(of), "rows"), "keys")
+    keyed = docs.withColumn(own, sha)
+    on = F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(own) == F.col(of))
+    once = keyed.join(keys.filter("rows = 1").select(at, of).hint("shuffle_hash"), on, "left_semi").select(*names)
+    repeats = keys.filter("rows > 1").select(at, of)
+    n = repeats.count()
+    if not n:
+        return once
+    again = keyed.join(small(repeats, n), on, "left_semi").groupBy("doc_id", own).agg(F.min(F.struct(*names)).alias(row))
+    return once.unionByName(again.select(f"{row}.*"))
