@@ -1,12 +1,14 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraph digests.
 
-A sketch has three sub-tables of cells; each paragraph digest is added to one cell of each: a count, the XOR of digests
-and the XOR of their check hashes. Two sketches of one size subtract cell by cell, which leaves only the paragraphs in
-which the documents differ. Peeling takes cells that hold a single digest, records it, and removes it from its other
-cells, until nothing is left. If something is left, both sides are sketched again in a larger size. Large documents are
-split by digest into blocks, each with a sketch of its own, so that the work stays in proportion to their paragraphs.
-
-All of it is SQL expressions within a row; the only shuffle brings each document beside the next one.
+A sketch has three sub-tables of `size` cells, two to four for each paragraph; each paragraph digest is added to one cell
+of each: a count, the XOR of digests and the XOR of their check hashes. Two sketches of one size subtract cell by cell,
+which leaves only the paragraphs in which the documents differ. Peeling takes cells that hold a single digest, records
+it, and removes it from its other cells, one sub-table after another. Where something is left, both sides are sketched
+again in twice the size, with other places for the digests, until nothing is left.
+
+Only cells that hold something are rows, so that a sketch costs what its paragraphs cost, whatever its size: building,
+subtracting and peeling are sums and XORs by cell. Digests are dealt by document once, and every step after that stays
+within its partition. Texts move once, to stand beside the next document's.
 """
 
 from __future__ import annotations
@@ -16,17 +18,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small
+from .shared import small, staged
 
-#: Cells of a sub-table in a block's first sketch, and in the larger ones that follow failures.
-SIZES = (6, 16, 48, 192)
-#: Paragraphs that a block has at most, on average, before the document gets twice as many blocks.
-BLOCK, ROUNDS = 6, 16
+#: Cells of the smallest sub-table; visits to sub-tables before a sketch counts as failed.
+LEAST_SIZE, VISITS = 8, 7
+#: Digests that a partition gets, on average.
+KEYS = 150_000
 #: A line longer than LEAST characters is cut after a sentence end, at MOST characters at the latest.
 LEAST, MOST = 160, 640
 #: Quantiles of doc_id, and parts of equal width that each interval between them is cut into at most.
 QUANTILES, PARTS, PART_ROWS = 64, 4_096, 500
 
+#: The sub-table of a record of a digest that was peeled off.
+FOUND = 3
+
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     """f(x), with x computed once."""
@@ -42,119 +47,95 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p))))
 
 
-def exponent(n: Column) -> Column:
-    """k, so that n paragraphs in 2 ** k blocks are BLOCK to a block at most, on average."""
-    return F.when(n <= BLOCK, F.lit(0)).otherwise(F.ceil(F.log2(n / BLOCK))).cast("int")
-
-
-def by_block(k: Column, f: Callable[..., Column], *sets: Column) -> Column:
-    """The array of f over the parts of digest sets in each of 2 ** k blocks. Sets are parted twice, by half of k each."""
-    power = lambda x: F.pow(F.lit(2), x).cast("int")
-    few, rest = power(F.floor(k / 2)), power(k - F.floor(k / 2))
-    part = lambda keys, seed, n, i: F.filter(keys, lambda x: F.pmod(F.hash(F.lit(seed), x), n) == i)
-    names = [f"s{i}" for i in range(len(sets))]
-
-    def outer(i: Column) -> Column:
-        parts = F.struct(*[part(x, 17, few, i).alias(n) for x, n in zip(sets, names)])
-        return _let(parts, lambda p: F.transform(F.sequence(F.lit(0), rest - 1), lambda j: f(*[part(p[n], 23, rest, j) for n in names])))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), few - 1), outer))
-
-
-def _entry(key: Column, size: Column, sign: Column | None = None) -> Column:
-    """A digest with its cell in each sub-table."""
-    at = [((F.shiftrightunsigned(key, 21 * j).bitwiseAND(F.lit((1 << 21) - 1))) % size).cast("int").alias(f"c{j}") for j in range(3)]
-    return F.struct(key.alias("key"), F.hash(F.lit(29), key).alias("check"), (F.lit(1) if sign is None else sign).alias("n"), *at)
-
-
-def _cell(n: Column, key: Column, check: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), key.alias("key"), check.alias("check"))
-
+def size_for(n: Column) -> Column:
+    """Cells of each sub-table for n digests: a power of two, two to four for a digest."""
+    return F.greatest(F.lit(LEAST_SIZE), F.pow(F.lit(2), F.ceil(F.log2(2 * F.greatest(n, F.lit(1)))))).cast("long")
 
-def _put(entries: Column, cells: Callable[[int], Column], sign: int) -> Column:
-    """Each sub-table's cells with the entries that fall into them added (sign 1) or removed (-1)."""
 
-    def table(j: int) -> Column:
-        return F.transform(
-            cells(j),
-            lambda c, i: F.aggregate(
-                F.filter(entries, lambda e: e[f"c{j}"] == i), c,
-                lambda a, e: _cell(a.n + e.n if sign > 0 else a.n - e.n, a.key.bitwiseXOR(e.key), a.check.bitwiseXOR(e.check)),
-            ),
-        )
+def _slot(key: Column, table: int, size: Column, attempt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(table), F.lit(attempt), key), size)
 
-    return F.struct(*[table(j).alias(f"t{j}") for j in range(3)])
 
+def _check(key: Column) -> Column:
+    return F.hash(F.lit(29), key)
 
-def sketch(keys: Column, size: Column) -> Column:
-    """Three sub-tables of `size` cells."""
-    empty = F.array_repeat(_cell(F.lit(0), F.lit(0).cast("long"), F.lit(0)), size)
-    return _let(F.transform(keys, lambda k: _entry(k, size)), lambda entries: _put(entries, lambda j: empty, 1))
 
+def _cell(table: int, slot: Column, n: Column, key: Column, check: Column) -> Column:
+    return F.struct(F.lit(table).alias("t"), slot.alias("slot"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"))
 
-def subtract(a: Column, b: Column) -> Column:
-    less = lambda x, y: _cell(x.n - y.n, x.key.bitwiseXOR(y.key), x.check.bitwiseXOR(y.check))
-    return F.struct(*[F.zip_with(a[f"t{j}"], b[f"t{j}"], less).alias(f"t{j}") for j in range(3)])
 
+def _added(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells at one place added up; those that come to nothing are no rows."""
+    sums = cells.groupBy(*by, "size", "t", "slot").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    return sums.filter("n != 0 or key != 0 or check != 0")
 
-_FOUND = "struct<key:bigint,n:int>"
 
+def sketches(keys: DataFrame, by: list[str], attempt: int = 0) -> DataFrame:
+    """The cells (t, slot, n, key, check) of each sketch. keys: rows of by, size, key and n (1, or -1 to subtract)."""
+    key, n, size = F.col("key"), F.col("n"), F.col("size")
+    each = F.array(*[_cell(t, _slot(key, t, size, attempt), n, key, _check(key)) for t in range(3)])
+    return _added(keys.select(*by, "size", F.inline(each)), by)
 
-def peel(cells: Column, size: Column) -> Column:
-    """struct(ok, found): found lists (key, n), n 1 for digests of the first sketch only and -1 of the second only."""
 
-    def step(acc: Column, _: Column) -> Column:
-        single = lambda c: (F.abs(c.n) == 1) & (c.check == F.hash(F.lit(29), c.key))
-        pure = F.array_distinct(F.transform(F.concat(*[F.filter(acc.cells[f"t{j}"], single) for j in range(3)]), lambda c: F.struct(c.key.alias("key"), c.n.alias("n"))))
+def peel(cells: DataFrame, by: list[str], attempt: int = 0) -> DataFrame:
+    """Cells after VISITS visits to sub-tables. Rows with t FOUND are digests (key) that came off, n 1 for those of the
+    first sketch only and -1 of the second only; any other row is a cell that could not be peeled."""
+    key, n, size, check = F.col("key"), F.col("n"), F.col("size"), F.col("check")
+    for visit in range(VISITS):
+        t = visit % 3
+        single = (F.col("t") == t) & (F.abs(n) == 1) & (check == _check(key))
+        same = F.struct("t", "slot", "n", "key", "check")
+        off = [_cell(u, _slot(key, u, size, attempt), -n, key, check) for u in range(3) if u != t]
+        rows = F.inline(F.when(single, F.array(*off, _cell(FOUND, key, n, key, check))).otherwise(F.array(same)))
+        cells = _added(cells.select(*by, "size", rows), by)
+    return cells
 
-        def removed(found: Column) -> Column:
-            after = _let(F.transform(found, lambda p: _entry(p.key, size, p.n)), lambda entries: _put(entries, lambda j: acc.cells[f"t{j}"], -1))
-            ended = F.struct(acc.cells.alias("cells"), acc.found.alias("found"), F.lit(True).alias("done"))
-            return F.when(F.size(found) == 0, ended).otherwise(F.struct(after.alias("cells"), F.concat(acc.found, found).alias("found"), F.lit(False).alias("done")))
 
-        return F.when(acc.done, acc).otherwise(_let(pure, removed))
+def differences(pairs: DataFrame, sizes: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """who, key and n of every digest that only one of two digest sets has: n 1 for the first set x, -1 for the second y.
 
-    start = F.struct(cells.alias("cells"), F.array().cast(f"array<{_FOUND}>").alias("found"), F.lit(False).alias("done"))
-    empty = lambda acc: F.forall(acc.cells.t0, lambda c: (c.n == 0) & (c.key == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct(empty(acc).alias("ok"), acc.found.alias("found")))
-
-
-def differences(a: Column, b: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """(key, n) of every digest that only one of two digest sets has, by sketches that grow until one can be peeled.
-
-    A block that the largest size can't peel (a false check, or a vanishing chance) is compared digest by digest.
+    pairs: who (distinct), x and y (arrays of distinct digests). The larger set's size is taken first.
     """
-
-    def block(x: Column, y: Column) -> Column:
-        none = F.struct(F.lit(False).alias("ok"), F.array().cast(f"array<{_FOUND}>").alias("found"))
-        grow = lambda acc, size: F.when(acc.ok, acc).otherwise(peel(subtract(sketch(x, size), sketch(y, size)), size))
-        mark = lambda keys, n: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
-        plain = F.concat(mark(F.array_except(x, y), 1), mark(F.array_except(y, x), -1))
-        return F.aggregate(F.array(*[F.lit(s) for s in sizes]), none, grow, lambda acc: F.when(acc.ok, acc.found).otherwise(plain))
-
-    apart = F.flatten(by_block(exponent(F.greatest(F.size(a), F.size(b))), lambda x, y: _let(F.struct(x.alias("x"), y.alias("y")), lambda p: block(p.x, p.y)), a, b))
-    return F.when(a == b, F.array().cast(f"array<{_FOUND}>")).otherwise(apart)
-
-
-def fingerprint(keys: Column) -> Column:
-    """The first sketch of each block, as text: n:key:check for each cell that isn't empty, at its place."""
-
-    def one(part: Column) -> Column:
-        s = sketch(part, F.lit(SIZES[0]))
-        show = lambda c: F.when(c.n == 0, F.lit("")).otherwise(F.concat_ws(":", c.n, F.hex(c.key), F.hex(c.check)))
-        return F.concat_ws(";", *[F.concat_ws(",", F.transform(s[f"t{j}"], show)) for j in range(3)])
-
-    return F.concat_ws("|", by_block(exponent(F.size(keys)), one, keys))
-
-
-def likeness(a: Column, b: Column, found: Column) -> Column:
-    """Shared paragraphs over all paragraphs; 1 for two documents without any."""
-    both, apart = F.size(a) + F.size(b), F.size(found)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - apart) / (both + apart))
+    size = (sizes or (lambda n, m: F.greatest(size_for(n), size_for(m))))(F.size("x"), F.size("y"))
+    todo = pairs.filter("x != y").withColumn("size", size)
+    found, attempt = None, 0
+    while True:
+        total = todo.agg(F.coalesce(F.sum(F.size("x") + F.size("y")), F.lit(0))).first()[0]
+        dealt = todo.repartition(total // KEYS + 1, "who")
+        signed = lambda c, n: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(n).cast("long").alias("n")))
+        keys = dealt.select("who", "size", F.inline(F.concat(signed("x", 1), signed("y", -1))))
+        out = staged(peel(sketches(keys, ["who"], attempt), ["who"], attempt).select("who", "t", "key", "n"), "peeled")
+        failed = out.filter(F.col("t") != FOUND).select("who").distinct()
+        n = failed.count()
+        done = out.filter(F.col("t") == FOUND).select("who", "key", "n")
+        if n:
+            failed = staged(failed, "failed")
+            done = done.join(small(failed, n), "who", "left_anti")
+        found = done if found is None else found.unionByName(done)
+        if not n:
+            return found
+        todo = staged(todo.join(small(failed, n), "who", "left_semi").withColumn("size", 2 * F.col("size")), "again")
+        attempt += 1
+
+
+def fingerprints(sets: DataFrame, by: list[str]) -> DataFrame:
+    """by and fingerprint, for sets (by, keys: distinct digests) that aren't empty: the sketch as text, its size and then
+    sub-table.slot:n:key:check of each cell that holds something."""
+    keys = sets.select(*by, size_for(F.size("keys")).alias("size"), F.explode("keys").alias("key"), F.lit(1).cast("long").alias("n"))
+    cells = F.array_sort(F.collect_list(F.struct("t", "slot", "n", F.hex("key").alias("key"), F.hex(F.col("check")).alias("check"))))
+    show = lambda c: F.concat(c.t, F.lit("."), c.slot, F.lit(":"), c.n, F.lit(":"), c.key, F.lit(":"), c.check)
+    made = sketches(keys, by).groupBy(*by).agg(F.first("size").alias("size"), cells.alias("cells"))
+    return made.select(*by, F.concat_ws("|", F.col("size"), F.concat_ws(",", F.transform("cells", show))).alias("fingerprint"))
+
+
+def likeness(a: Column, b: Column, apart: Column) -> Column:
+    """Shared paragraphs over all paragraphs, from the sizes of two sets and of their difference; 1 for two empty sets."""
+    return F.when(a + b == 0, F.lit(1.0)).otherwise((a + b - apart) / (a + b + apart))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the text that follows in descending doc_id, the first after the last.
+    """docs (doc_id, text) with keys, the digests of the text, and next_text and next_keys: those of the document that
+    follows in descending doc_id, the first after the last.
 
     Rows of one doc_id follow one another by text; null ids come last. Ids are cut into parts at quantiles and then by
     width, at most QUANTILES * PARTS in number; each part also gets the row that follows its last one.
@@ -181,22 +162,41 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("_part").alias("in"), F.lit(False).alias("extra")), F.struct(F.col("_to").alias("in"), F.lit(True).alias("extra")))
     placed = marked.withColumn("_at", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_top")), both).otherwise(F.slice(both, 1, 1))))
     window = Window.partitionBy("_at.in").orderBy(F.col("_at.extra"), F.col("doc_id").desc_nulls_last(), F.col("text"))
-    return placed.withColumn("next_text", F.lead("text").over(window)).filter(~F.col("_at.extra")).select("doc_id", "text", "next_text")
+    placed = placed.withColumn("keys", digests(F.col("text")))
+    following = {"next_text": F.lead("text").over(window), "next_keys": F.lead("keys").over(window)}
+    return placed.withColumns(following).filter(~F.col("_at.extra")).select("doc_id", "text", "keys", "next_text", "next_keys")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last half replaced by as much of the next document's beginning. Null texts count as empty;
-    a text without paragraphs has an empty sketch. A table of one row is its own next. Extra columns are ignored.
+    a text without paragraphs has an empty fingerprint. A table of one row is its own next. Rows that repeat a doc_id are
+    fingerprinted one by one. Very long texts are sketched whole, by one task. Extra columns are ignored.
     """
     rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", "text", "next_text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("keys").alias("a"), F.col("next_keys").alias("c"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("b"), "c")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+    pair = lambda i, x, y: F.struct(F.lit(i).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = rows.select("row", F.inline(F.array(pair(0, "a", "b"), pair(1, "a", "c")))).select((2 * F.col("row") + F.col("i")).alias("who"), "x", "y")
+    apart = differences(pairs).groupBy("who").agg(F.count(F.lit(1)).alias("apart"))
+    of = lambda i: F.max(F.when(F.col("who") % 2 == i, F.col("apart"))).alias(f"apart{i}")
+    apart = staged(apart.groupBy(F.expr("who div 2").alias("row")).agg(of(0), of(1)), "apart")
+    total = rows.agg(F.coalesce(F.sum(F.size("a") + F.size("b")), F.lit(0))).first()[0]
+    parts = total // KEYS + 1
+    sets = rows.select("row", "a", "b").repartition(parts, "row")
+    side = lambda c: F.struct(F.lit(c).alias("side"), F.col(c).alias("keys"))
+    texts = fingerprints(sets.select("row", F.inline(F.array(side("a"), side("b")))), ["row", "side"])
+    text = lambda c: F.max(F.when(F.col("side") == c, F.col("fingerprint"))).alias(f"of_{c}")
+    texts = texts.groupBy("row").agg(text("a"), text("b"))
+    each = rows.select("row", "doc_id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in "abc"])
+    out = each.repartition(parts, "row").join(texts, "row", "left").join(apart.repartition(parts, "row"), "row", "left")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"),
-        likeness(a, b, differences(a, b)).alias("near_edited"), likeness(a, c, differences(a, c)).alias("near_next"),
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", F.coalesce("of_a", F.lit("")).alias("fingerprint"), F.coalesce("of_b", F.lit("")).alias("edited_fingerprint"),
+        likeness(a, b, F.coalesce("apart0", F.lit(0))).alias("near_edited"), likeness(a, c, F.coalesce("apart1", F.lit(0))).alias("near_next"),
     )
