@@ -45,6 +45,8 @@ def recipes(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     norm = docs.withColumn("_norm", normalise(F.col("text")))
     chunked = norm.select(*keep, F.sha2("_norm", 256).alias("text_sha256"), F.transform(chunks(F.col("_norm")), identifier).alias("_ids"))
+    # chunked and hashed once; only identifiers are written
+    chunked = staged(chunked, "chunked")
     clash = bool(conflicts(chunked).take(1))
     name = (lambda c: F.concat_ws(":", c.digest, c.size, F.hex(c.witness))) if clash else (lambda c: c.digest)
     return chunked.select(*keep, "text_sha256", F.transform("_ids", name).alias("recipe"))
@@ -54,13 +56,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row, and n_chunks.
 
     Null texts count as empty; texts are equal after each white-space run became one space. keep_id is the smallest
-    doc_id of the group (nulls only where all are null). Of rows that also share that doc_id all are kept. An empty
-    table gives an empty result; extra columns are ignored.
+    doc_id of the group (nulls only where all are null). Of rows that also share that doc_id all are kept. Very long
+    texts are chunked whole. An empty table gives an empty result; extra columns are ignored.
     """
     each = recipes(docs, ["doc_id"])
     # the list itself is compared; its digest only decides where it is compared
     each = each.select("doc_id", "text_sha256", "recipe")
-    each = staged(each, "recipes")
     groups = each.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return each.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")

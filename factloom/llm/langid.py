@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, SAMPLE_WORDS, PIECE = 1_600, 40_000, 24
 HIDDEN, EPOCHS, BATCH, RATE = 16, 3, 128, 0.01
+#: Pieces of words that a document gives to the sample, at most.
+PER_DOC = 100
 #: Words whose probabilities a Python worker remembers.
 CACHE = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -202,22 +204,34 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
     """A network from a sample of docs (doc_id, text, lang) outside the held-out fold; None without labelled text.
 
-    Each language gets an equal share of the sample, drawn by a hash of doc_id; sizes are expected values, with a limit
-    at twice the sample.
+    Each language gets an equal share of the sample: the documents that a hash of doc_id and text puts first, and of each
+    at most PER_DOC pieces of words, which tasks choose. The sample depends on the rows alone, not on how they are dealt.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = max(1, sample_docs // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
-    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, -(-(share << 20) // n)))])
-    some = rows.filter(draw < bound[F.col("lang")]).limit(2 * max(sample_docs, len(counts))).collect()
-    some.sort(key=lambda r: (r.lang, str(r.doc_id), r.text))
-    langs, rng = sorted(counts), np.random.default_rng(5)
-    words, labels = [], []
+    langs, per = sorted(counts), max(1, sample_docs // len(counts))
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)))
+    # twice as many as are wanted pass the bound, so that too few are all but ruled out; nothing else is sent
+    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 40, -(-2 * ((per + 20) << 40) // n)))])
+    drawn = drawn.filter(F.col("draw") < bound[F.col("lang")]).select("lang", "draw", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = []
+            for draw, t in zip(b.column(1).to_pylist(), b.column(2)):
+                found = [p for w in _WORD.findall(t.as_py().lower()) for p in pieces(w)]
+                at = np.random.default_rng(draw).permutation(len(found))[:PER_DOC]
+                held.append([found[i] for i in sorted(at)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.binary()))], ["lang", "draw", "pieces"])
+
+    some = drawn.mapInArrow(cut, "lang string, draw long, pieces array<binary>").dropDuplicates()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "pieces"))
+    some = some.withColumn("at", first).filter(F.col("at") <= per).orderBy("lang", "at").collect()
+    rng, words, labels = np.random.default_rng(5), [], []
     for k, lang in enumerate(langs):
-        found = [p for r in some if r.lang == lang for w in _WORD.findall(r.text.lower()) for p in pieces(w)]
+        found = [bytes(p) for r in some if r.lang == lang for p in r.pieces]
         for i in rng.permutation(len(found))[: sample_words // len(langs)]:
             words.append(found[i])
             labels.append(k)
@@ -253,7 +267,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs (all columns) with a language that is predicted with a score of `least` or more."""
+    """The rows of docs (all columns) with a language that is predicted with a score of `least` or more.
+
+    Null and empty texts, and texts without letters, have none and go; very long ones are read whole. Repeated rows stay
+    or go together. Without labelled rows to learn from, and from an empty table, no rows are returned.
+    """
     net, names = fit(docs), docs.columns
     if net is None:
         return docs.limit(0)

@@ -22,26 +22,36 @@ from .shared import BROADCAST_ROWS, forget, small, staged
 DIMENSIONS = ("_source", "_lang", "_topic")
 #: Exponent on present shares that gives the default targets: below 1, small sources gain.
 TEMPER = 0.7
-#: Topics by the first mark that a text contains; `prose` without any.
-TOPICS = (("legal", "icense"), ("contact", "@"), ("table", " | "), ("markup", "###"))
 ROUNDS, MOST_ROUNDS, CLOSE = 10, 100, 1e-6
-#: Cells with less than this share of the tokens don't set the scale of the draw; their probability may stop at 1.
-MINOR = 0.001
+#: Bounds of the default topics, as shares of a text's characters, and characters a line.
+DIGITS, TABLE, MARKED, LIST_LINE, TALK = 0.08, 0.01, 0.01, 40, 0.004
 
 
 def topic(text: Column) -> Column:
-    found = F.lit("prose")
-    for name, mark in reversed(TOPICS):
-        found = F.when(text.contains(mark), F.lit(name)).otherwise(found)
-    return found
+    """What a whole text mostly is: tabular, numeric, markup, list, talk or prose; `none` for an empty one.
+
+    Shares of characters and the mean length of lines decide, not single marks. A caller who has topics gives them as a
+    column.
+    """
+    n = F.length(text)
+    share = lambda chars: (n - F.length(F.translate(text, chars, ""))) / n
+    lines = n - F.length(F.translate(text, "\n", "")) + 1
+    return (
+        F.when(n == 0, "none").when(share("|\t") >= TABLE, "tabular").when(share("0123456789") >= DIGITS, "numeric")
+        .when(share("#@<>{}[]_=") >= MARKED, "markup").when((lines >= 5) & (n / lines < LIST_LINE), "list").when(share("?!") >= TALK, "talk").otherwise("prose")
+    )
 
 
-def celled(docs: DataFrame) -> DataFrame:
-    """docs with _source, _lang, _topic (nulls as a value of their own) and _tokens (words, 1 at least)."""
+def celled(docs: DataFrame, topics: Column | None = None) -> DataFrame:
+    """_row (a row of docs), _source, _lang, _topic (nulls as a value of their own) and _tokens (words, 1 at least)."""
     text = F.coalesce("text", F.lit(""))
-    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-    return docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_topic": topic(text), "_tokens": words.cast("double")})
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    words = F.length(text) - F.length(F.translate(text, " ", "")) + 1
+    own = topic(text) if topics is None else topics
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), named(F.col("source")).alias("_source"), named(F.col("lang")).alias("_lang"),
+        named(own).alias("_topic"), words.cast("double").alias("_tokens"),
+    )
 
 
 def targets(cells: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -106,38 +116,45 @@ def _gap(cells: DataFrame) -> float:
     return reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
 
 
-def calibrated(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs (all columns) with the cell columns, _tokens, _ratio (calibrated share a token) and _chance, the probability of being drawn."""
-    rows = celled(docs)
+def calibrated(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, topics: Column | None = None) -> DataFrame:
+    """celled docs with _ratio (calibrated share a token), _chance, the probability of being drawn, and _gap (see rake).
+
+    The cell with the largest ratio is drawn whole and sets the scale of all others, so that no cell, however small,
+    misses its share.
+    """
+    rows = celled(docs, topics)
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens")), "cells")
     n = cells.count()
     raked = rake(staged(targets(cells, wanted), "targets"), n <= BROADCAST_ROWS)
     ratio = raked.withColumn("_ratio", F.col("weight") / F.col("tokens"))
-    total = cells.agg(F.sum("tokens")).first()[0] or 1.0
-    top = ratio.filter(F.col("tokens") >= MINOR * total).agg(F.max("_ratio")).first()[0] or ratio.agg(F.max("_ratio")).first()[0] or 1.0
-    chance = ratio.select(*[F.col(d).alias(f"{d}_") for d in DIMENSIONS], "_ratio", F.least(F.lit(1.0), F.col("_ratio") / F.lit(top)).alias("_chance"))
+    top = ratio.agg(F.max("_ratio")).first()[0] or 1.0
+    chance = ratio.select(*[F.col(d).alias(f"{d}_") for d in DIMENSIONS], "_ratio", (F.col("_ratio") / F.lit(top)).alias("_chance"), F.col("gap").alias("_gap"))
     on = [F.col(d) == F.col(f"{d}_") for d in DIMENSIONS]
     return rows.join(small(chance, n), on).drop(*[f"{d}_" for d in DIMENSIONS])
 
 
 def _drawn() -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) / F.lit(float(1 << 53)) < F.col("_chance")
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("_row.doc_id")), 11) / F.lit(float(1 << 53)) < F.col("_chance")
 
 
-def calibrate_documents(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability and drawn for every row.
+def calibrate_documents(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, topics: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, probability, drawn and gap for every row.
 
-    weight is the row's calibrated share: those of a source, language or topic sum to its target. Sources and languages
-    are as in docs (nulls stay null). Extra columns are ignored; otherwise as sample_to_targets.
+    weight is the row's calibrated share: those of a source, language or topic sum to its target, up to gap. Sources and
+    languages are as in docs (nulls stay null). Extra columns are ignored; otherwise as sample_to_targets.
     """
-    rows = calibrated(docs.select("doc_id", "text", "lang", "source"), wanted)
-    return rows.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"), (F.col("_ratio") * F.col("_tokens")).alias("weight"), F.col("_chance").alias("probability"), _drawn().alias("drawn"))
+    rows = calibrated(docs, wanted, topics)
+    return rows.select(
+        "_row.doc_id", "_row.source", "_row.lang", F.expr("substring(_topic, 2)").alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
+        (F.col("_ratio") * F.col("_tokens")).alias("weight"), F.col("_chance").alias("probability"), _drawn().alias("drawn"), F.col("_gap").alias("gap"),
+    )
 
 
-def sample_to_targets(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The rows of docs (all columns) that are drawn.
+def sample_to_targets(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, topics: Column | None = None) -> DataFrame:
+    """The rows of docs (all columns, whatever their names) that are drawn.
 
-    Null sources and languages are values of their own; null and empty texts weigh one token. Rows that share a doc_id
-    share their draw. An empty table gives no rows.
+    Null sources and languages are values of their own; null and empty texts weigh one token, and very long ones what
+    they hold. Rows that share a doc_id share their draw. An empty table gives no rows. topics: a column of docs, or an
+    expression over them, instead of topic(text).
     """
-    return calibrated(docs, wanted).filter(_drawn()).select(*docs.columns)
+    return calibrated(docs, wanted, topics).filter(_drawn()).select("_row.*")

@@ -20,7 +20,7 @@ def _query(f: Callable) -> Callable:
 
 @_query
 def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("problem")
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 @_query
@@ -101,6 +101,6 @@ with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as
 select page_id, octet_length(encode(t))::bigint as payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::bigint + 1, 1)), '') as payload_digest,
   case when page_id = min(page_id) over (partition by t) then 'response' else 'revisit' end as record_type,
-  case when page_id <> min(page_id) over (partition by t) then min(page_id) over (partition by t) end as refers_to
+  case when page_id <> min(page_id) over (partition by t) then min(page_id) over (partition by t) end as refers_to, null::varchar as problem
 from p
 """

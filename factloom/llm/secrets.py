@@ -1,18 +1,19 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a text is content-addressed by its SHA-256. The ledger records which rule versions have seen which
-blob, and what they found. A scan takes one row of each blob that lacks a current rule version, runs only the missing
-rules on it, and appends to the ledger; findings are then joined back to every row (path) that has that blob.
+blob, and what each of them found. A scan takes one row of each blob that lacks a current rule version, runs only the
+missing rules on it, and appends to the ledger; what current rule versions found is then joined back to every row (path)
+that has that blob.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import shared_dir
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,8 @@ RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 
-_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
+LEDGER = f"blob string, checked array<string>, spans {_SPANS}"
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -53,7 +55,7 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = (acc.at + x["gap"]).cast("int")
         end = (start + x["size"]).cast("int")
-        made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+        made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.name).alias("rule"))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc.out, F.array(made))).otherwise(acc.out).alias("out"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc.out)
@@ -87,22 +89,49 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
 
 
 def join_back(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Each row of docs (doc_id) with the spans that current rule versions have found in its blob."""
-    current = [r.name for r in rules]
-    hits = ledger.filter(F.size("spans") > 0).filter(F.arrays_overlap("checked", F.array(*[F.lit(x) for x in current])))
+    """Each row of docs (doc_id) with the spans that the given rule versions have found in its blob, and no others."""
+    rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
+    current = F.filter("spans", lambda s: rank[s.rule].isNotNull())
+    placed = F.transform(current, lambda s: s.withField("rank", rank[s.rule]))
+    hits = ledger.select("blob", placed.alias("spans")).filter(F.size("spans") > 0)
     hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return docs.select("doc_id", blob(F.col("text")).alias("blob")).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+class Ledger:
+    """The ledger as a table in a folder that scans append to, one part a scan, and that later sessions open again."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or shared_dir(spark, "ledger")
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.begun = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    def rows(self) -> DataFrame | None:
+        return self.spark.read.schema(LEDGER).parquet(self.path) if self.begun else None
+
+    def record(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan what is new: blobs that the ledger lacks with all rules, those it has with the versions that they lack."""
+        scan_unseen(docs, self.rows(), rules).write.mode("append").parquet(self.path)
+        self.begun = True
+
+
+#: The rule books of the scans that scan_documents makes, one after another: an earlier one, and the present one.
+BOOKS = (RULES[:2], RULES)
+
+
+def scan_documents(docs: DataFrame, ledger: Ledger | None = None, books: tuple[tuple[Rule, ...], ...] = BOOKS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob for every row.
 
-    Null texts count as empty: no spans, the SHA-256 of nothing. Spans of different kinds may overlap. Repeated rows
-    are all returned; an empty table gives an empty result; extra columns are ignored.
+    Each rule book is a scan over the ledger that those before it left, so that a later one runs its new rule versions
+    only; the last one's findings are returned. Null texts count as empty: no spans, the SHA-256 of nothing. Spans of
+    different kinds may overlap. Very long texts are scanned whole. Repeated rows are all returned; an empty table gives
+    an empty result; extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    fresh = staged(scan_unseen(docs, ledger), "ledger")
-    book = fresh if ledger is None else ledger.unionByName(fresh)
+    ledger = ledger or Ledger(docs.sparkSession)
+    for rules in books:
+        ledger.record(docs, rules)
     listed = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return join_back(docs, book).select("doc_id", *[count(r.kind) for r in RULES], F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"), "blob")
+    kinds = [r.kind for r in books[-1]]
+    return join_back(docs, ledger.rows(), books[-1]).select("doc_id", *[count(k) for k in kinds], F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"), "blob")

@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(spark, "_factloom_dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark._factloom_dir = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

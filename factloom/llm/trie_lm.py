@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from .shingle_join import _BASE, _BYTES, _mixed, _power
 ORDER, LEAST, DISCOUNT = 3, 2, 0.75
 #: Tokens that a task looks at together.
 BLOCK = 500_000
+#: Bytes of text for each shard, and bounds on the number of shards (as powers of two).
+SHARD_BYTES, MIN_BITS, MOST_BITS = 8 << 20, 3, 16
 #: Quantised values are -log10 of a probability, in steps of 1 / STEP.
 STEP = 6_000
 
@@ -95,7 +98,7 @@ def _store(path: str, arrays: dict[str, np.ndarray]) -> None:
         head[k] = [x.dtype.str, at, len(x)]
         at += -(-x.nbytes // 8) * 8
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    own = f"{path}.{os.getpid()}"
+    own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "wb") as f:
         text = json.dumps(head).encode()
         f.write(len(text).to_bytes(8, "little") + text + b" " * (-len(text) % 8))
@@ -239,7 +242,8 @@ def held_out(doc_id: Column) -> Column:
 def build(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Trie:
     """The trie of docs (text), all of whose rows are counted. n-grams of two words or more are nodes from `least` on."""
     spark = docs.sparkSession
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(MIN_BITS, (size // SHARD_BYTES).bit_length()))
     trie = Trie(local_path(shared_dir(spark, "trie")), bits)
     path = trie.path
 
@@ -347,7 +351,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
-    Learns from rows whose fold isn't held out. Null and empty texts are the end alone. With nothing to learn from,
+    Learns from rows whose fold isn't held out. Null and empty texts are the end alone; very long ones are read whole. With nothing to learn from,
     every score is 0. Extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

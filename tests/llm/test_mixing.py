@@ -3,6 +3,8 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.functions import lit
 
 import __spark_entry__
 from factloom.llm import mixing
@@ -10,11 +12,21 @@ from tests.llm.cases import DOCS, TEXTS, docs
 from tests.llm.test_pipeline import many
 
 
+def kind(text):
+    n, lines = len(text), text.count("\n") + 1
+    if not n:
+        return "none"
+    share = lambda chars: sum(map(text.count, chars)) / n
+    tests = [("tabular", share("|\t") >= mixing.TABLE), ("numeric", share("0123456789") >= mixing.DIGITS), ("markup", share("#@<>{}[]_=") >= mixing.MARKED)]
+    tests += [("list", lines >= 5 and n / lines < mixing.LIST_LINE), ("talk", share("?!") >= mixing.TALK)]
+    return next((k for k, yes in tests if yes), "prose")
+
+
 def brute(rows, rounds=300):
     """{(source, lang, topic): (tokens, weight)} of rows (source, lang, text) by plain raking."""
     have = collections.Counter()
     for source, lang, text in rows:
-        have[source, lang, next((n for n, mark in mixing.TOPICS if mark in (text or "")), "prose")] += (text or "").count(" ") + 1
+        have[source, lang, kind(text or "")] += (text or "").count(" ") + 1
     total = sum(have.values())
     weight = {k: v / total for k, v in have.items()}
 
@@ -42,7 +54,7 @@ def test_op5_is_registered_over_all_documents(spark, tmp_path):
     want = brute([(r.source, r.lang, r.text) for r in d.collect()])
     for r in got:
         tokens, weight = want[r.source, r.lang, r.topic]
-        assert r.weight == pytest.approx(weight * r.tokens / tokens, rel=1e-3) and 0 < r.probability <= 1
+        assert r.weight == pytest.approx(weight * r.tokens / tokens, rel=1e-3) and 0 < r.probability <= 1 and r.gap < mixing.CLOSE
     assert sum(r.weight for r in got) == pytest.approx(1)
     assert {r.doc_id for r in got if r.drawn} == {r.doc_id for r in mixing.sample_to_targets(d).collect()}
 
@@ -51,6 +63,24 @@ def test_op5_takes_every_kind_of_row(spark):
     got = mixing.calibrate_documents(docs(spark)).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in TEXTS)
     assert mixing.calibrate_documents(docs(spark, [])).count() == 0
+    clash = docs(spark).withColumns({c: lit(c) for c in ("_source", "_lang", "_topic", "_tokens", "_chance", "_row", "_ratio", "tokens", "weight")})
+    kept = mixing.sample_to_targets(clash)
+    assert kept.columns == clash.columns
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in clash.collect()}
+    assert {r.topic for r in mixing.calibrate_documents(clash, topics=F.col("shard")).collect()} == {"1"}
+
+
+def test_shares_of_the_draw_meet_the_targets(spark):
+    """Small cells too: what is drawn is expected to hold every source's target share."""
+    d = spark.createDataFrame(many(3000), DOCS)
+    got = mixing.calibrate_documents(d).collect()
+    expected, weight = collections.Counter(), collections.Counter()
+    for r in got:
+        expected[r.source] += r.tokens * r.probability
+        weight[r.source] += r.weight
+    whole = sum(expected.values())
+    for k, v in expected.items():
+        assert v / whole == pytest.approx(weight[k], rel=1e-6)
 
 
 def linked(spark):

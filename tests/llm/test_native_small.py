@@ -47,7 +47,29 @@ def test_ledger_scans_only_unseen(spark):
     more = (*secrets.RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{10,}"))
     again = secrets.scan_unseen(d, first, more)
     assert {tuple(r.checked) for r in again.collect()} == {("hex@2",)}
-    assert rows(secrets.scan_documents(d, first).select("doc_id", "spans").orderBy("doc_id", "spans")) == rows(secrets.scan_documents(d).select("doc_id", "spans").orderBy("doc_id", "spans"))
+
+
+def listed(df):
+    return sorted(((r.doc_id, r.blob, [(s.kind, s.start, s.end) for s in r.spans]) for r in df.collect()), key=key)
+
+
+def test_only_current_versions_findings_come_back(spark):
+    texts = [(1, "password = hunter2222 and cafe1234cafe"), (2, "password = hunter2222 and cafe1234cafe"), (3, "token: abcdefgh")]
+    ledger = secrets.Ledger(spark)
+    ledger.record(docs(spark, texts))
+    assert ledger.rows().count() == 2
+    newer = (secrets.Rule("assign", 2, "(password) is ([a-z]+)", 2, 6), secrets.RULES[1], secrets.Rule("hex", 2, "[0-9a-f]{10,}"))
+    ledger.record(docs(spark, texts), newer)
+    assert ledger.rows().count() == 4
+    want = secrets.join_back(docs(spark, texts), secrets.scan_unseen(docs(spark, texts), None, newer), newer)
+    got = secrets.join_back(docs(spark, texts), ledger.rows(), newer)
+    assert listed(got) == listed(want) and {s.rule for r in got.collect() for s in r.spans} == {"hex@2"}
+    # the older book still has its own findings, and a new path of a known blob needs no scan
+    more = docs(spark, texts + [(9, texts[0][1])])
+    ledger.record(more, newer)
+    assert ledger.rows().count() == 4
+    old = secrets.join_back(more, secrets.Ledger(spark, ledger.path).rows())
+    assert [[s.rule for s in r.spans] for r in old.orderBy("doc_id").collect()] == [["assign@1"]] * 4
 
 
 def test_secrets_empty(spark):
