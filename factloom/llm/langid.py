@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import trimmed
+
 SAMPLE_DOCS, SAMPLE_WORDS, PIECE = 1_600, 40_000, 24
 HIDDEN, EPOCHS, BATCH, RATE = 16, 3, 128, 0.01
 #: Pieces of words that a document gives to the sample, at most.
@@ -187,7 +189,7 @@ class Labeller:
             ends.append(len(words))
             size += len(text)
             # words of many texts are computed together
-            if size > 2_000_000 or i + 1 == len(texts):
+            if size > 1_000_000 or i + 1 == len(texts):
                 if words:
                     total = np.concatenate([np.zeros((1, out.shape[1] + 1)), np.cumsum(self.sums(words), 0, dtype=np.float64)])
                     own = np.diff(total[[0, *ends]], axis=0)
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
                 held.append([found[i] for i in sorted(at)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.binary()))], ["lang", "draw", "pieces"])
 
-    some = drawn.mapInArrow(cut, "lang string, draw long, pieces array<binary>").dropDuplicates()
+    some = drawn.mapInArrow(trimmed(cut), "lang string, draw long, pieces array<binary>").dropDuplicates()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "pieces"))
     some = some.withColumn("at", first).filter(F.col("at") <= per).orderBy("lang", "at").collect()
     rng, words, labels = np.random.default_rng(5), [], []
@@ -254,7 +256,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             names = [net.langs[k] if x > 0 else "und" for k, x in zip(p.argmax(1), top)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(top)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(doc).alias("held_out"), "text").mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(doc).alias("held_out"), "text").mapInArrow(trimmed(label), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -282,4 +284,4 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
             top = read(b.column(b.schema.get_field_index("text"))).max(1)
             yield b.filter(pa.array((top > 0) & (top >= least)))
 
-    return docs.mapInArrow(kept, docs.schema).select(*names)
+    return docs.mapInArrow(trimmed(kept), docs.schema).select(*names)

@@ -23,22 +23,24 @@ DIMENSIONS = ("_source", "_lang", "_topic")
 #: Exponent on present shares that gives the default targets: below 1, small sources gain.
 TEMPER = 0.7
 ROUNDS, MOST_ROUNDS, CLOSE = 10, 100, 1e-6
-#: Bounds of the default topics, as shares of a text's characters, and characters a line.
-DIGITS, TABLE, MARKED, LIST_LINE, TALK = 0.08, 0.01, 0.01, 40, 0.004
+#: A value's default target is at most this many times its present share, before targets are made to sum to 1.
+LIFT = 2.0
+#: Bounds of the default topics: words in all, share of bars, characters a line, words a sentence.
+FEW_WORDS, BARS, LIST_LINE, TERSE, WORDY = 50, 0.01, 40, 8, 20
 
 
 def topic(text: Column) -> Column:
-    """What a whole text mostly is: tabular, numeric, markup, list, talk or prose; `none` for an empty one.
+    """The form of a whole text: none, table, list, short, terse, wordy or plain.
 
-    Shares of characters and the mean length of lines decide, not single marks. A caller who has topics gives them as a
-    column.
+    Counts over all of it decide: its words, and what a line and a sentence have of them. A caller who has topics gives
+    them as a column.
     """
     n = F.length(text)
-    share = lambda chars: (n - F.length(F.translate(text, chars, ""))) / n
-    lines = n - F.length(F.translate(text, "\n", "")) + 1
+    count = lambda c: n - F.length(F.replace(text, F.lit(c), F.lit("")))
+    lines, words, sentence = count("\n") + 1, count(" ") + 1, count(".") + 1
     return (
-        F.when(n == 0, "none").when(share("|\t") >= TABLE, "tabular").when(share("0123456789") >= DIGITS, "numeric")
-        .when(share("#@<>{}[]_=") >= MARKED, "markup").when((lines >= 5) & (n / lines < LIST_LINE), "list").when(share("?!") >= TALK, "talk").otherwise("prose")
+        F.when(n == 0, "none").when(count("|") / n >= BARS, "table").when((lines >= 5) & (n / lines < LIST_LINE), "list").when(words < FEW_WORDS, "short")
+        .when(words / sentence < TERSE, "terse").when(words / sentence >= WORDY, "wordy").otherwise("plain")
     )
 
 
@@ -46,7 +48,7 @@ def celled(docs: DataFrame, topics: Column | None = None) -> DataFrame:
     """_row (a row of docs), _source, _lang, _topic (nulls as a value of their own) and _tokens (words, 1 at least)."""
     text = F.coalesce("text", F.lit(""))
     named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    words = F.length(text) - F.length(F.translate(text, " ", "")) + 1
+    words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
     own = topic(text) if topics is None else topics
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), named(F.col("source")).alias("_source"), named(F.col("lang")).alias("_lang"),
@@ -64,7 +66,10 @@ def targets(cells: DataFrame, wanted: dict[str, dict[str, float]] | None = None)
         have = cells.groupBy(d).agg(F.sum("tokens").alias("_sum"))
         given = (wanted or {}).get(d[1:])
         if given is None:
-            share = F.pow("_sum", F.lit(TEMPER))
+            tempered = have.select(d, "_sum", F.pow("_sum", F.lit(TEMPER)).alias("_share"))
+            both = tempered.agg(F.sum("_sum"), F.sum("_share")).first()
+            # tempered shares, lifted to LIFT times the present ones at most
+            share = F.least(F.pow("_sum", F.lit(TEMPER)) / F.lit(both[1] or 1.0), LIFT * F.col("_sum") / F.lit(both[0] or 1.0))
         else:
             share = F.coalesce(F.create_map(*[F.lit(x) for k, v in given.items() for x in (f"={k}", float(v))])[F.col(d)], F.lit(0.0))
         have = have.withColumn("_share", share)

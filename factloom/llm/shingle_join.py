@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import one_of_each, small, staged
+from .shared import give_back, one_of_each, small, staged, trimmed
 
 WORDS, CHUNK, ROUNDS = 5, 256, 3
 #: Tokens that a map task gathers before it deals them, and that a bucket holds on average.
-FLUSH = BUCKET = 1_500_000
+FLUSH = BUCKET = 750_000
 #: Nodes whose counts are summed together, pairs that a bucket expands together, and words that are hashed together.
-PART, BLOCK, SLICE = 100_000, 2_000_000, 200_000
+PART, BLOCK, SLICE = 100_000, 400_000, 50_000
 #: Sets with more than this share of all rows are dealt once, by their first row; there are at most 1 / HOT of them.
 HOT = 1e-3
 
@@ -186,7 +186,13 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def _counted(dealt: DataFrame, count, parts: int) -> DataFrame:
     """id, ups and downs of every node: what count finds in the buckets, summed."""
-    counts = dealt.groupBy("bucket").applyInArrow(lambda t: count(t, parts), _COUNTS)
+
+    def counted(table: pa.Table) -> pa.Table:
+        out = count(table, parts)
+        give_back()
+        return out
+
+    counts = dealt.groupBy("bucket").applyInArrow(counted, _COUNTS)
     return counts.groupBy("part").applyInArrow(_summed, "id long, ups long, downs long")
 
 
@@ -364,6 +370,7 @@ def _asked(asks: pa.Table, table: pa.Table) -> pa.Table:
         ok = fewer & (m_group[i] != g[j]) & (least[j] <= m_n[i]) & (up[j] >= m_n[i]) & (m_down[i] >= least[j])
         keep(np.stack([m_id[i][ok], g[j][ok]], 1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    give_back()
     return pa.table({"id": pa.array(pairs[:, 0], pa.int64()), "other": pa.array(pairs[:, 1], pa.int64())})
 
 
@@ -525,7 +532,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
             yield _batch(doc_id=b.column(0), sha=b.column(2), n=pa.array(n), seen=pa.array(seen, pa.int64()), node=pa.array([node_of(s) for s in sets], pa.string()))
 
     rows = docs.select("doc_id", "text", F.sha2("text", 256).alias("sha"))
-    return staged(rows.mapInArrow(describe, "doc_id long, sha string, n long, seen long, node string"), "sets")
+    return staged(rows.mapInArrow(trimmed(describe), "doc_id long, sha string, n long, seen long, node string"), "sets")
 
 
 def _alive(docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
@@ -550,7 +557,7 @@ def _alive(docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
 
         return _deal(each(), _PLAIN, buckets, cut=True)
 
-    counted = _counted(docs.select("doc_id", "text").mapInArrow(dealt, _DEALT), _shared, rows // PART + 1)
+    counted = _counted(docs.select("doc_id", "text").mapInArrow(trimmed(dealt), _DEALT), _shared, rows // PART + 1)
     # every row that was dealt was counted; names that agree in these 60 bits share their sums, which drops neither
     short = F.expr("cast(conv(substring(node, 1, 15), 16, 10) as bigint)")
     times = F.when(F.col("hot"), F.col("once")).otherwise(F.col("rows"))
@@ -573,7 +580,7 @@ def _opened_sets(docs: DataFrame, alive: DataFrame, found: int, words: int) -> D
 
     reps = alive.select(F.col("rep").alias("_rep")).distinct()
     texts = docs.select("doc_id", "text").join(small(reps.hint("shuffle_hash"), found), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(opened, "node string, n int, tokens binary, heads array<long>")
+    sets = texts.mapInArrow(trimmed(opened), "node string, n int, tokens binary, heads array<long>")
     # rows that repeat a doc_id may bring other sets along
     sets = staged(sets.join(small(alive.select("node", "id").hint("shuffle_hash"), found), "node").drop("node"), "open-sets")
     return staged(sets.dropDuplicates(["id"]), "open-sets-once") if sets.count() > found else sets
@@ -618,7 +625,7 @@ def _across(sets: DataFrame, state: DataFrame, found: int) -> DataFrame | None:
 
     def active(state: DataFrame) -> DataFrame:
         rows = tokens.join(small(state.hint("shuffle_hash"), found), "id")
-        return rows.select(*_STATE.names, "tokens").mapInArrow(dealt, _DEALT)
+        return rows.select(*_STATE.names, "tokens").mapInArrow(trimmed(dealt), _DEALT)
 
     state = state.withColumns({"up": F.expr("cast(floor(4 * n / 3) as int)"), "down": F.col("n")})
     for _ in range(2):

@@ -13,13 +13,18 @@ from tests.llm.test_pipeline import many
 
 
 def kind(text):
-    n, lines = len(text), text.count("\n") + 1
+    n, lines, words, sentence = len(text), text.count("\n") + 1, text.count(" ") + 1, text.count(".") + 1
     if not n:
         return "none"
-    share = lambda chars: sum(map(text.count, chars)) / n
-    tests = [("tabular", share("|\t") >= mixing.TABLE), ("numeric", share("0123456789") >= mixing.DIGITS), ("markup", share("#@<>{}[]_=") >= mixing.MARKED)]
-    tests += [("list", lines >= 5 and n / lines < mixing.LIST_LINE), ("talk", share("?!") >= mixing.TALK)]
-    return next((k for k, yes in tests if yes), "prose")
+    tests = [("table", text.count("|") / n >= mixing.BARS), ("list", lines >= 5 and n / lines < mixing.LIST_LINE), ("short", words < mixing.FEW_WORDS)]
+    tests += [("terse", words / sentence < mixing.TERSE), ("wordy", words / sentence >= mixing.WORDY)]
+    return next((k for k, yes in tests if yes), "plain")
+
+
+def tempered(have):
+    total, raised = sum(have.values()), sum(v**mixing.TEMPER for v in have.values())
+    out = {k: min(v**mixing.TEMPER / raised, mixing.LIFT * v / total) for k, v in have.items()}
+    return {k: v / sum(out.values()) for k, v in out.items()}
 
 
 def brute(rows, rounds=300):
@@ -36,8 +41,7 @@ def brute(rows, rounds=300):
             out[k[i]] += v
         return out
 
-    want = [{k: v**mixing.TEMPER for k, v in side(have, i).items()} for i in range(3)]
-    want = [{k: v / sum(w.values()) for k, v in w.items()} for w in want]
+    want = [tempered(side(have, i)) for i in range(3)]
     for _ in range(rounds):
         for i in range(3):
             now = side(weight, i)
