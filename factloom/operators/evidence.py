@@ -59,8 +59,9 @@ def rank(level: Column) -> Column:
 
 
 def least_level(levels: Column) -> Column:
-    """The lowest of an array of levels."""
-    return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.array_min(F.transform(levels, rank)))
+    """The lowest of an array of levels, `none` being unrated: it counts only where nothing else is there."""
+    rated = F.filter(levels, lambda x: x != "none")
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in LEVELS]), F.array_min(F.transform(rated, rank))), F.lit("none"))
 
 
 def sane(df: DataFrame) -> DataFrame:

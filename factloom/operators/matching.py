@@ -21,10 +21,11 @@ def richest_match(docs: DataFrame, keys: str, key: str, exports: DataFrame) -> D
 
 
 def longest_prefix(df: DataFrame, name: str, key: str, prefixes: DataFrame) -> DataFrame:
-    """(key, owner) of the longest prefix (prefix, owner): an equi-join on each length that prefixes have."""
-    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(1000).collect())
-    cut = F.explode(F.array(*[F.substring(name, 1, n) for n in lengths]))
-    found = df.select(key, cut.alias("prefix")).distinct().join(prefixes, "prefix")
+    """(key, owner) of the longest prefix (prefix, owner): an equi-join on every beginning of name that is no longer than
+    the longest prefix."""
+    most = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
+    cut = F.transform(F.sequence(F.lit(0), F.least(F.length(name), F.lit(most))), lambda n: F.substring(F.col(name), F.lit(1), n))
+    found = df.filter(F.col(name).isNotNull()).select(key, F.explode(cut).alias("prefix")).distinct().join(prefixes, "prefix")
     return found.groupBy(key).agg(F.max_by("owner", F.length("prefix")).alias("owner"))
 
 

@@ -63,11 +63,11 @@ def range_sanity(spark: SparkSession, d: str) -> DataFrame:
     return evidence.sane(r).withColumn("flags", F.concat_ws(",", "flags"))
 
 
-@query(_FUSED + """ , l as (select k % 50 as doc, list_min(list_transform(list(confidence), lambda x: list_position(['none', 'low', 'medium', 'high'], x))) as r, count(*) as n from fused group by all)
-select doc, (['none', 'low', 'medium', 'high'])[r] as confidence, n from l""")
+@query(_FUSED + """ , l as (select k % 50 as doc, list_min(list_transform(list(confidence) filter (confidence <> 'none'), lambda x: list_position(['none', 'low', 'medium', 'high'], x))) as r, count(*) as n from fused group by all)
+select doc, coalesce((['none', 'low', 'medium', 'high'])[r], 'none') as confidence, n from l""")
 def overall_confidence(spark: SparkSession, d: str) -> DataFrame:
-    fused = evidence.fuse(readings(spark, d)).groupBy((F.col("k") % 50).alias("doc")).agg(F.min(evidence.rank(F.col("confidence"))).alias("r"), F.count(F.lit(1)).alias("n"))
-    return fused.select("doc", F.element_at(F.array(*[F.lit(x) for x in evidence.LEVELS]), F.col("r")).alias("confidence"), "n")
+    fused = evidence.fuse(readings(spark, d)).groupBy((F.col("k") % 50).alias("doc")).agg(F.collect_set("confidence").alias("levels"), F.count(F.lit(1)).alias("n"))
+    return fused.select("doc", evidence.least_level(F.col("levels")).alias("confidence"), "n")
 
 
 _RECON = """with f as (select k, min as doc_min, max as doc_max, confidence as doc_confidence from fused), e as (select f.*, case when k % 6 <> 0 then p_size::double end as export_min,

@@ -9,7 +9,7 @@ from factloom.functions import scalars
 from factloom.plans.registry import query, table
 
 
-@query(r"select p_partkey, upper(regexp_replace(regexp_replace(p_name || '-' || p_brand || case when p_partkey % 2 = 0 then ' (1)' else '' end, '\s*\([0-9]+\)\s*$', ''), '[^A-Za-z0-9]', '', 'g')) as part from part")
+@query(r"select p_partkey, upper(regexp_replace(regexp_replace(p_name || '-' || p_brand || case when p_partkey % 2 = 0 then ' (1)' else '' end, '\s*\([0-9]{1,2}\)\s*$', ''), '[^A-Za-z0-9]', '', 'g')) as part from part")
 def part_normal(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.col("p_name"), F.lit("-"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, " (1)").otherwise(""))
     return table(spark, d, "part").select("p_partkey", scalars.norm_part(name).alias("part"))
@@ -18,7 +18,7 @@ def part_normal(spark: SparkSession, d: str) -> DataFrame:
 _NUM = "case p_partkey % 6 when 0 then '−' || p_size::varchar when 1 then '– ' || p_size::varchar when 2 then '1,' || (100 + p_size)::varchar || '.5' when 3 then 'TBD' when 4 then p_size::varchar || ' V' else p_size::varchar end"
 
 
-@query(rf"with c as (select p_partkey, trim(regexp_replace(translate({_NUM}, '−–,', '--'), '^-\s+', '-')) as c from part) select p_partkey, case when regexp_matches(c, '^[+-]?[0-9]*\.?[0-9]+$') then c::double end as number from c")
+@query(rf"with c as (select p_partkey, trim(regexp_replace(translate({_NUM}, '−–,', '--'), '^-\s+', '-')) as c from part) select p_partkey, case when regexp_matches(c, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') then c::double end as number from c")
 def strict_numbers(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size").cast("string")
     cell = F.when(k % 6 == 0, F.concat(F.lit("−"), s)).when(k % 6 == 1, F.concat(F.lit("– "), s)).when(k % 6 == 2, F.concat(F.lit("1,"), (F.col("p_size") + 100).cast("string"), F.lit(".5"))).when(k % 6 == 3, "TBD").when(k % 6 == 4, F.concat(s, F.lit(" V"))).otherwise(s)
@@ -26,7 +26,7 @@ def strict_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with c as (select p_partkey as k, p_size as s, (['', 'k', 'm', 'u'])[p_partkey % 4 + 1] as p, (['V', 'Hz', 'A'])[p_partkey % 3 + 1] as u from part)
-select k, case when u = 'Hz' then (s * case p when 'k' then 1e3 when 'm' then 1e-3 when 'u' then 1e-6 else 1.0 end::double) / 1000 else s * case p when 'k' then 1e3 when 'm' then 1e-3 when 'u' then 1e-6 else 1.0 end::double end as value, case when u = 'Hz' then 'kHz' else u end as unit from c""")
+select k, round_even(s * case p when 'k' then 1e3 when 'm' then 1e-3 when 'u' then 1e-6 else 1.0 end::double * case when u = 'Hz' then 1e-3::double else 1.0::double end, 6) as value, case when u = 'Hz' then 'kHz' else u end as unit from c""")
 def quantity_values(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % n + 1).cast("int"))
@@ -34,10 +34,20 @@ def quantity_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(k.alias("k"), scalars.value_of(text).alias("x")).select("k", "x.value", "x.unit")
 
 
-@query("select doc_id, list_sum(list_transform(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?)(?:[\\sVAWH-]|$)', 1), lambda x: 1))::long as n, coalesce(list_max(list_transform(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?)(?:[\\sVAWH-]|$)', 1), lambda x: round_even(x::double, 6))), -1) as top from documents where regexp_matches(text, '[0-9](?:[\\sVAWH-]|$)')")
+NUMBER = r"([-+]?[0-9]*\.?[0-9]+)\s*([pnuµμmkKMG])?(?:\s|$|[VAWH])"
+PREFIX = "case x[2] when 'p' then 1e-12 when 'n' then 1e-9 when 'u' then 1e-6 when 'µ' then 1e-6 when 'μ' then 1e-6 when 'm' then 1e-3 when 'k' then 1e3 when 'K' then 1e3 when 'M' then 1e6 when 'G' then 1e9 else 1.0 end::double"
+
+
+def numbers_sql(text: str, scale: str = "1.0::double") -> str:
+    plain = f"translate({text}, '−–', '- ')"
+    zipped = f"list_zip(regexp_extract_all({plain}, '{NUMBER}', 1), regexp_extract_all({plain}, '{NUMBER}', 2))"
+    return f"list_transform({zipped}, lambda x: round_even(x[1]::double * {PREFIX} * {scale}, 6))"
+
+
+@query(f"with n as (select doc_id, {numbers_sql('text')} as n from documents) select doc_id, len(n)::bigint as n, list_max(n) as top, list_min(n) as low from n where len(n) > 0")
 def numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
-    n = scalars.numbers_in(F.col("text"))
-    return table(spark, d, "documents").filter(F.col("text").rlike("[0-9](?:[\\sVAWH-]|$)")).select("doc_id", F.size(n).cast("long").alias("n"), F.coalesce(F.array_max(n), F.lit(-1.0)).alias("top"))
+    rows = table(spark, d, "documents").select("doc_id", scalars.numbers_in(F.col("text")).alias("n")).filter(F.size("n") > 0)
+    return rows.select("doc_id", F.size("n").cast("long").alias("n"), F.array_max("n").alias("top"), F.array_min("n").alias("low"))
 
 
 @query("select p_partkey, '0x' || case when p_partkey % 200 < 16 then '0' else '' end || printf('%X', p_partkey % 200) as address, 4096 + p_partkey % 200 as absolute from part")
