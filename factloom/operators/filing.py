@@ -84,10 +84,23 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def nearest_twin(left: DataFrame, right: DataFrame, identity: list[str]) -> DataFrame:
-    """Unmatched left rows (identity, pos, min, typ, max) with the right row of one identity: the first with the same values in
-    another order, else the first, and which of the two it is."""
+    """Left rows (identity, pos, min, typ, max) that no right row of their identity equals in place, with the right row
+    that has the same values in another order (the first), else the first one, and which of the two it is.
+
+    Rows without values take no part. The right side is reduced to a row for each identity and set of values before it is
+    joined, so that no pairs of rows are listed.
+    """
     values = F.array_sort(F.filter(F.array("min", "typ", "max"), lambda x: x.isNotNull()))
-    a, b = left.select(*identity, "pos", values.alias("v")), right.select(*identity, F.col("pos").alias("other"), values.alias("w"))
-    pairs = a.join(b, identity).withColumn("shift", F.col("v") == F.col("w"))
-    best = pairs.groupBy(*identity, "pos").agg(F.min(F.struct((~F.col("shift")).alias("n"), "other")).alias("m"))
-    return best.select(*identity, "pos", F.col("m.other").alias("other"), F.when(~F.col("m.n"), "column_shift").otherwise("readers_disagree").alias("flag"))
+    held = F.coalesce("min", "typ", "max").isNotNull()
+    own, other = left.filter(held), right.filter(held).withColumnRenamed("pos", "other")
+    places = other.select(*[F.col(c).alias(f"_{c}") for c in (*identity, "min", "typ", "max")]).distinct()
+    same = F.lit(True)
+    for c in identity:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    for c in ("min", "typ", "max"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rest = own.join(places, same, "left_anti").select(*identity, "pos", values.alias("v"))
+    shifts = other.groupBy(*identity, values.alias("v")).agg(F.min("other").alias("shift"))
+    firsts = other.groupBy(*identity).agg(F.min("other").alias("first"))
+    found = rest.join(firsts, identity).join(shifts, [*identity, "v"], "left")
+    return found.select(*identity, "pos", F.coalesce("shift", "first").alias("other"), F.when(F.col("shift").isNotNull(), "column_shift").otherwise("readers_disagree").alias("flag"))

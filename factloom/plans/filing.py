@@ -86,7 +86,7 @@ def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     return filing.chunks(docs, "doc_id", "n", 20, docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("first")))
 
 
-@query("""with x as (select l_orderkey, l_linenumber as pos, max(l_quantity) as a, max(l_discount) as b, max(l_tax) as c from lineitem group by all), p as (select x.l_orderkey, x.pos, y.pos as other, list_sort([x.a, x.b, x.c]) = list_sort([y.a, y.c, y.b]) as shift from x join x y using (l_orderkey) where x.pos <= 2),
+@query("""with x as (select l_orderkey, l_linenumber as pos, max(l_quantity) as a, max(l_discount) as b, max(l_tax) as c from lineitem group by all), left_over as (select * from x where not exists (select 1 from x y where y.l_orderkey = x.l_orderkey and y.a = x.a and y.c = x.b and y.b = x.c)), p as (select x.l_orderkey, x.pos, y.pos as other, list_sort([x.a, x.b, x.c]) = list_sort([y.a, y.c, y.b]) as shift from left_over x join x y using (l_orderkey) where x.pos <= 2),
 r as (select *, row_number() over (partition by l_orderkey, pos order by not shift, other) as rn from p) select l_orderkey, pos, other, case when shift then 'column_shift' else 'readers_disagree' end as flag from r where rn = 1""")
 def nearest_twin(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("pos")).agg(F.max("l_quantity").alias("min"), F.max("l_discount").alias("typ"), F.max("l_tax").alias("max"))

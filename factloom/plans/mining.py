@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import dedup, search
 from factloom.plans.registry import query, table
+from factloom.sources.database import written
 
 _LINES = "with l as (select doc_id, string_split(text, chr(10)) as a from documents), u as (select doc_id, a, unnest(range(len(a))) as i from l)"
 _TOK = r"regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüý', 'aaaaaaceeeeiiiinooooouuuuy'), '[\p{L}\p{N}]+')"
@@ -101,7 +102,8 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""with t as (select doc_id, len(string_split(text, chr(10))) as n, trim(regexp_replace(text, '\s+', ' ', 'g')) as p from documents), f as (select *, min(doc_id) over (partition by n, p) as twin from t where length(p) >= 500)
 select doc_id, twin from f where doc_id <> twin""")
 def fingerprint_twins(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.twins(table(spark, d, "documents"), F.size(search.lines_of(F.col("text"))), dedup.fingerprint(F.col("text")), "doc_id")
+    prints = table(spark, d, "documents").select("doc_id", F.size(search.lines_of(F.col("text"))).alias("n"), dedup.fingerprint(F.col("text")).alias("print"))
+    return dedup.twins(written(prints, "prints"), F.col("n"), F.col("print"), "doc_id")
 
 
 @query("""with v as (select o_orderkey, o_custkey as family, [month(o_orderdate), day(o_orderdate)] as version from orders)

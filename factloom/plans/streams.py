@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans.registry import query, table
+from factloom.sources.database import Table, written
 from factloom.sources.database import scratch as _folder
 from factloom.streaming import ingest
 
@@ -17,14 +18,14 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")
     at = _folder(spark, "upsert")
     ingest.run_available(stream.select("user_id", "event_type", "event_id", "value"), lambda b, _: ingest.upsert(b.sparkSession, b, at, "user_id", "event_id"), _folder(spark, "checkpoint"))
-    return spark.read.schema("user_id long, event_type string, event_id long, value double").parquet(at)
+    return Table(spark, at).read("user_id long, event_type string, event_id long, value double")
 
 
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """An extension: hourly event-time windows with a watermark, in complete mode."""
+    """An extension: hourly event-time windows, in complete mode, which keeps every window."""
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     agg = stream.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     out = _folder(spark, "windows")
     ingest.run_complete(agg, out, _folder(spark, "checkpoint"))
@@ -43,9 +44,41 @@ def queue_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select lang, count(*) as n from documents group by lang")
 def stream_file_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Files that have settled, streamed and counted; a source that was counted before is counted anew, not added."""
+    """Files streamed and counted; each batch counts all rows that have come, and replaces what was counted before."""
     schema = table(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
     out = _folder(spark, "counts")
     ingest.run_complete(stream.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), out, _folder(spark, "checkpoint"))
     return spark.read.schema("lang string, n long").parquet(out)
+
+
+@query("""select l_orderkey % 500 as doc, count(*) as n from lineitem group by 1""")
+def ingest_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that grow between rounds: what is stale is done again, until nothing is, by one writer."""
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("doc"), "l_linenumber")
+    at, counts = Table(spark, _folder(spark, "rounds")), "doc long, n long"
+    seen = {"most": 0}
+
+    def step() -> int:
+        seen["most"] = min(seen["most"] + 3, 7)
+        now = lines.filter(F.col("l_linenumber") <= seen["most"]).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+        todo = written(ingest.stale(at.read(counts), now, "doc", "n"), "stale")
+        at.merge(todo, "doc", "n")
+        return todo.count()
+
+    with ingest.alone(spark, at.path) as won:
+        if won:
+            ingest.until_quiet(step)
+    return at.read(counts)
+
+
+@query("""with o as (select ps.l_suppkey as doc, (['export', 'prose', 'roc'])[l_linenumber % 3 + 1] as source, l_quantity as value from lineitem ps where l_orderkey % 10 < 5)
+select doc, source, value, count(*) as n from (select * from o where source <> 'export' union all select l_suppkey, 'export', l_quantity from lineitem where l_orderkey % 10 >= 8) group by all""")
+def enrichment_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """An export that is read a second time takes the place of its earlier readings."""
+    rows = table(spark, d, "lineitem")
+    sources = F.array(F.lit("export"), F.lit("prose"), F.lit("roc"))
+    old = rows.filter("l_orderkey % 10 < 5").select(F.col("l_suppkey").alias("doc"), F.element_at(sources, F.col("l_linenumber") % 3 + 1).alias("source"), F.col("l_quantity").alias("value"))
+    new = rows.filter("l_orderkey % 10 >= 8").select(F.col("l_suppkey").alias("doc"), F.lit("export").alias("source"), F.col("l_quantity").alias("value"))
+    once = ingest.replaced_by_source(old, new, "source")
+    return ingest.replaced_by_source(once, new, "source").groupBy("doc", "source", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -1,34 +1,107 @@
-"""The derived database: parquet tables that are rebuilt whole and then take the old ones' place."""
+"""The derived database: parquet tables in versions, of which a manifest names the current one.
+
+A change writes new files in a folder of its own and then swaps the manifest, a small file, by one atomic rename: readers
+see the old table or the new one, and a crash between the two leaves the old one. Tables that are merged into are cut into
+buckets by key, and a merge writes only the buckets that it touches.
+"""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+_MANIFEST, BUCKETS = "_manifest.json", 64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-")
+    """A new path in the folder that driver and executors share; in a local session without one, a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="factloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def replace_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Write df beside the table at path and rename it into place: readers see the old table or the new one."""
-    spark = df.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    aside = f"{path}-{uuid.uuid4().hex}"
-    out = df.write
-    (out.partitionBy(*by) if by else out).parquet(aside)
-    at = jvm.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(at, True)
-    fs.rename(jvm.Path(aside), at)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder, so that what is made of it twice is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Table:
+    """A versioned table at path. The manifest maps each bucket (one, named "", for tables that are replaced whole) to its
+    folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = spark._jvm.org.apache.hadoop.fs
+        self._files = self._fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict[str, str]:
+        at = self._fs.Path(f"{self.path}/{_MANIFEST}")
+        if not self._files.exists(at):
+            return {}
+        stream = self._files.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _swap(self, manifest: dict[str, str]) -> None:
+        aside, at = self._fs.Path(f"{self.path}/_{uuid.uuid4().hex}"), self._fs.Path(f"{self.path}/{_MANIFEST}")
+        stream = self._files.create(aside, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = self._fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(aside), context.makeQualified(at), options)
+
+    def _drop_unnamed(self, keep: set[str]) -> None:
+        """Delete versions that neither the manifest nor the one before it names: readers of that one may still be there."""
+        for f in self._files.listStatus(self._fs.Path(self.path)):
+            name = f.getPath().getName()
+            if f.isDirectory() and not any(k.split("/")[0] == name for k in keep):
+                self._files.delete(f.getPath(), True)
+
+    def replace(self, df: DataFrame, by: list[str] | None = None) -> None:
+        """df instead of what is there."""
+        was, name = self.manifest(), f"v-{uuid.uuid4().hex}"
+        (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.path}/{name}")
+        self._swap({"": name})
+        self._drop_unnamed({name, *was.values()})
+
+    def read(self, schema: StructType | str) -> DataFrame:
+        folders = sorted(set(self.manifest().values()))
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def merge(self, new: DataFrame, key: str, order: str, buckets: int = BUCKETS) -> None:
+        """The row of each key with the largest order, of new and of what is there. Run again, it changes nothing."""
+        bucket = F.pmod(F.hash(key), F.lit(buckets))
+        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())
+        if not touched:
+            return
+        was, name = self.manifest(), f"v-{uuid.uuid4().hex}"
+        old = [f"{self.path}/{was[str(b)]}" for b in touched if str(b) in was]
+        both = new.unionByName(self.spark.read.schema(new.schema).parquet(*old)) if old else new
+        best = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.col(order)).alias("_r")).select("_r.*")
+        best.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+        self._swap(was | {str(b): f"{name}/_bucket={b}" for b in touched})
+        self._drop_unnamed({f"{name}/", *was.values(), *self.manifest().values()})
 
 
 def rebuild(spark: SparkSession, folder: str, tables: dict[str, DataFrame], by: dict[str, list[str]] | None = None) -> None:
     """Write every table and register it as a view of its name, so that filters reach the files."""
     for name, df in tables.items():
-        replace_table(df, f"{folder}/{name}", (by or {}).get(name))
-        spark.read.schema(df.schema).parquet(f"{folder}/{name}").createOrReplaceTempView(name)
+        table = Table(spark, f"{folder}/{name}")
+        table.replace(df, (by or {}).get(name))
+        table.read(df.schema).createOrReplaceTempView(name)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.database import Table
+
 
 def run_available(stream: DataFrame, write, checkpoint: str) -> None:
     """Process everything that is there now, in micro-batches, then stop. One query for a checkpoint."""
@@ -25,16 +28,48 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: str, order: str) -> None:
-    """Merge a batch into the table at path, which is written beside the old one and then takes its place.
+    """Merge a batch into the table at path: the buckets that it touches are written anew and swapped in at once.
 
     A batch that is run again changes nothing: the newest row of a key wins, and equal rows are one.
     """
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at, aside = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}-{uuid.uuid4().hex}")
-    both = new.unionByName(spark.read.schema(new.schema).parquet(path)) if fs.exists(at) else new
-    latest(both, key, order).write.parquet(aside.toString())
-    fs.delete(at, True)
-    fs.rename(aside, at)
+    Table(spark, path).merge(new, key, order)
+
+
+def until_quiet(step: Callable[[], int], most: int = 20) -> int:
+    """Repeat step until it says that it did nothing, most times at most. Returns how often it did something."""
+    for done in range(most):
+        if not step():
+            return done
+    return most
+
+
+@contextlib.contextmanager
+def alone(spark: SparkSession, path: str) -> Iterator[bool]:
+    """Whether this is the only writer of path: the one that could create its lock file. The loser gets False."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_lock")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    won = fs.createNewFile(at)
+    try:
+        yield won
+    finally:
+        if won:
+            fs.delete(at, False)
+
+
+def unfinished(filed: DataFrame, finished: DataFrame, key: str) -> DataFrame:
+    """What was filed but not finished, to be done again after a crash."""
+    return filed.join(finished.select(key).distinct(), key, "left_anti")
+
+
+def stale(done: DataFrame, now: DataFrame, key: str, size: str) -> DataFrame:
+    """Keys whose size has grown since they were done, and those that were never done."""
+    was = done.select(key, F.col(size).alias("_was"))
+    return now.join(was, key, "left").filter(F.col(size) > F.coalesce("_was", F.lit(-1))).drop("_was")
+
+
+def replaced_by_source(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
+    """old without the rows of new's sources, and new: an import that is repeated leaves the same rows."""
+    return old.join(new.select(source).distinct(), source, "left_anti").select(*old.columns).unionByName(new)
 
 
 def by_lane(df: DataFrame, pages: str, most: int) -> DataFrame:

@@ -69,7 +69,7 @@ def test_writers_and_rebuilds(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 4 and spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "plan")).count() == 2
     for v in ("a", "b"):
         ingest.upsert(spark, spark.createDataFrame([(1, v, 1 if v == "a" else 2)], "k int, v string, n int"), str(tmp_path / "up"), "k", "n")
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "up")).collect()] == [(1, "b", 2)]
+    assert [tuple(r) for r in database.Table(spark, str(tmp_path / "up")).read("k int, v string, n int").collect()] == [(1, "b", 2)]
 
 
 def one(spark, c):
@@ -96,3 +96,46 @@ def test_greedy_pairs_take_each_row_once(spark):
 def test_typed_columns(spark):
     x = spark.createDataFrame([(["Parameter", " Min ", "MAX", "Unit"],)], "h array<string>").select(tables.typed_columns(F.col("h"), {"min": ["min"], "max": ["max"], "typ": ["typ", "nom"]}).alias("x")).first().x
     assert (x.min, x.max, x.typ) == (2, 3, 0)
+
+
+def test_tables_change_at_once(spark, tmp_path):
+    at, schema = database.Table(spark, str(tmp_path / "t")), "k int, v string, n int"
+    rows = lambda: sorted(tuple(r) for r in at.read(schema).collect())
+    assert rows() == []
+    at.merge(spark.createDataFrame([(k, "a", 1) for k in range(50)], schema), "k", "n", 8)
+    before, was = at.manifest(), at.read(schema)
+    at.merge(spark.createDataFrame([(3, "b", 2), (3, "old", 0)], schema), "k", "n", 8)
+    after = at.manifest()
+    assert sum(before[b] != after[b] for b in before) == 1 and (3, "b", 2) in rows() and len(rows()) == 50
+    # a reader of the version before still has its files, and a write that never swapped its manifest changes nothing
+    assert was.count() == 50
+    spark.createDataFrame([(9, "lost", 9)], schema).write.parquet(f"{at.path}/v-crashed")
+    assert (9, "lost", 9) not in rows()
+    at.merge(spark.createDataFrame([(3, "b", 2)], schema), "k", "n", 8)
+    assert len(rows()) == 50 and not (tmp_path / "t" / "v-crashed").exists()
+
+
+def test_one_writer_and_rounds(spark, tmp_path):
+    at = str(tmp_path / "lock")
+    with ingest.alone(spark, at) as first, ingest.alone(spark, at) as second:
+        assert first and not second
+    with ingest.alone(spark, at) as again:
+        assert again
+    left = [3, 2, 1, 0]
+    assert ingest.until_quiet(lambda: left.pop(0)) == 3 and ingest.until_quiet(lambda: 1, 5) == 5
+    done = spark.createDataFrame([(1, 5), (2, 5)], "doc int, n int")
+    now = spark.createDataFrame([(1, 5), (2, 6), (3, 1)], "doc int, n int")
+    assert sorted(r.doc for r in ingest.stale(done, now, "doc", "n").collect()) == [2, 3]
+    assert [r.doc for r in ingest.unfinished(now, done, "doc").collect()] == [3]
+
+
+def test_levels_and_twins(spark):
+    from factloom.operators import filing
+
+    levels = lambda *x: one(spark, evidence.least_level(F.array(*[F.lit(v) for v in x])))
+    assert [levels("high", "none"), levels("none", "none"), levels("medium", "low", "none")] == ["high", "none", "low"]
+    schema = "part string, pos int, min double, typ double, max double"
+    left = spark.createDataFrame([("a", 1, 1.0, None, 2.0), ("a", 2, None, 1.0, 2.0), ("b", 1, 1.0, None, None), ("c", 1, None, None, None)], schema)
+    right = spark.createDataFrame([("a", 1, 1.0, None, 2.0), ("b", 1, 5.0, None, None), ("c", 1, 1.0, None, None), ("a", 2, None, None, None)], schema)
+    got = sorted(tuple(r) for r in filing.nearest_twin(left, right, ["part"]).collect())
+    assert got == [("a", 2, 1, "column_shift"), ("b", 1, 1, "readers_disagree")]
