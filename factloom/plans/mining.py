@@ -174,12 +174,12 @@ def contamination_find(spark: SparkSession, d: str) -> DataFrame:
     inner = F.slice(F.split("head", " "), F.lit(2), F.greatest(F.size(F.split("head", " ")) - 2, F.lit(0)))
     bench = bench.withColumn("n", F.least(F.size(inner), F.lit(3))).withColumn("key", F.array_join(F.slice(inner, F.lit(1), F.col("n")), " "))
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", plain.alias("p"))
-    words = F.split("p", " ")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    split = docs.select("doc_id", F.split("p", " ").alias("w"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
     lengths = [r[0] for r in bench.filter("n > 0").select("n").distinct().collect()]
     found = []
     for n in lengths:
-        keys = docs.select("doc_id", F.explode(F.array_distinct(grams(n))).alias("key"))
+        keys = split.select("doc_id", F.explode(F.array_distinct(grams(n))).alias("key"))
         found.append(keys.join(bench.filter(F.col("n") == n).select("item_id", "head", "key"), "key").select("doc_id", "item_id", "head").distinct())
     # texts are read again for the pairs that met
     pairs = reduce(DataFrame.unionByName, found) if found else None
