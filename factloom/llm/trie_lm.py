@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .shared import local_path, shared_dir
 from .shingle_join import _BASE, _BYTES, _mixed, _power
 
-ORDER, LEAST, DISCOUNT = 3, 2, 0.75
+#: Every n-gram is kept; a larger LEAST prunes those seen less often.
+ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 #: Tokens that a task looks at together.
 BLOCK = 500_000
 #: Bytes of text for each shard, and bounds on the number of shards (as powers of two).
