@@ -201,6 +201,15 @@ def _read(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.dtype(f"u{max(1, len(raw) // n)}")).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest byte of every number, then the next: high bytes, mostly zeros, compress away in the shuffle."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _joined(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK) -> Iterator[tuple[list[int], pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(batch, rows from, to, token hashes, length of each text), a block of texts at a time."""
     for b in batches:
@@ -289,14 +298,15 @@ def build(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Trie:
                     if a < b:
                         new = np.flatnonzero(np.diff(own[a:b], prepend=-1))
                         runs = np.diff(np.append(new, b - a))
-                        rows.append((s, (own[a:b][new] - first[s]).astype(np.uint32).tobytes(), _narrow(runs).tobytes(), words[a:b].tobytes(), _narrow(n[a:b]).tobytes()))
+                        steps = np.diff(own[a:b][new], prepend=first[s])
+                        rows.append((s, _planes(steps), _narrow(runs).tobytes(), _planes(words[a:b]), _narrow(n[a:b]).tobytes()))
                 yield _dealt(rows)
 
         def merge(table: pa.Table) -> pa.Table:
             keys, counts = [], []
             for k, r, w, c in zip(*[table.column(x).to_pylist() for x in ("keys", "runs", "words", "counts")]):
-                own, words = np.frombuffer(k, np.uint32), np.frombuffer(w, np.uint32)
-                keys.append(np.repeat(own.astype(_U), _read(r, len(own))) << _U(32) | words)
+                own, words = np.cumsum(_joined(k), dtype=_U), _joined(w)
+                keys.append(np.repeat(own, _read(r, len(own))) << _U(32) | words)
                 counts.append(_read(c, len(words)))
             names, back = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(back, np.concatenate(counts))
