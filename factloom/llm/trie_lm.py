@@ -35,6 +35,8 @@ SHARD_BYTES, MIN_BITS, MOST_BITS = 8 << 20, 3, 16
 STEP = 6_000
 
 _U = np.uint64
+#: Place of a byte's n-th one.
+_NTH = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int8), axis=1, kind="stable")
 _END = int(_mixed(np.array([0x5EED], _U))[0])
 
 
@@ -81,8 +83,11 @@ class EliasFano:
         k = (ones <= left[:, None]).sum(1)
         rows = np.arange(len(i))
         left = left - np.where(k > 0, ones[rows, np.maximum(k - 1, 0)], 0)
-        bits = np.unpackbits(np.ascontiguousarray(words[rows, k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        place = block * 512 + k * 64 + (np.cumsum(bits, 1, dtype=np.uint8) <= left[:, None]).sum(1)
+        parts = np.ascontiguousarray(words[rows, k]).view(np.uint8).reshape(-1, 8)
+        ones = np.cumsum(np.bitwise_count(parts), 1, dtype=np.uint8)
+        j = (ones <= left[:, None]).sum(1)
+        left = left - np.where(j > 0, ones[rows, np.maximum(j - 1, 0)], 0)
+        place = block * 512 + k * 64 + j * 8 + _NTH[parts[rows, j], left]
         value = (place - i) << low
         if low:
             at = i * low
@@ -163,10 +168,12 @@ class Trie:
             if a == b:
                 continue
             d, base = self.shard(level, s), self.first[level - 2][s]
-            own, back = np.unique(context[a:b] - base, return_inverse=True)
+            local = context[a:b] - base
+            new = np.flatnonzero(np.diff(local, prepend=-1))
+            own, runs = local[new], np.diff(np.append(new, b - a))
             ends = EliasFano.access(d, np.concatenate([own, own + 1]))
-            lo, end = ends[: len(own)][back], ends[len(own) :][back]
-            rest[a:b] = np.power(10.0, d["rest"][context[a:b] - base] / -STEP)
+            lo, end = np.repeat(ends[: len(own)], runs), np.repeat(ends[len(own) :], runs)
+            rest[a:b] = np.power(10.0, d["rest"][local] / -STEP)
             hi, want, names = end.copy(), word[a:b], d["word"]
             while len(open_ := np.flatnonzero(lo < hi)):
                 mid = (lo[open_] + hi[open_]) // 2
