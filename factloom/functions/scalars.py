@@ -83,7 +83,7 @@ def plain_glyphs(text: Column) -> Column:
 
 def fragments(text: Column, least: int = 8) -> Column:
     """Sentences and bullets of at least `least` characters."""
-    return F.filter(F.transform(F.split(text, "(?<=[.;])\\s+|[•▪·�]"), F.trim), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(F.split(text, "(?<=[.;])\\s+|[•▪·�]"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
 
 
 def claims(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -9,39 +9,39 @@ from factloom.operators import classification as c
 from factloom.plans.registry import query, table
 
 
-def _lit(v: str) -> str:
+def lit(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
-def _pick(values: list[str | None], key: str = "p_partkey") -> str:
+def pick(values: list[str | None], key: str = "p_partkey") -> str:
     """SQL of both dialects: one of values by key."""
-    return f"case {key} % {len(values)} " + " ".join(f"when {i} then {_lit(v)}" for i, v in enumerate(values) if v is not None) + " end"
+    return f"case {key} % {len(values)} " + " ".join(f"when {i} then {lit(v)}" for i, v in enumerate(values) if v is not None) + " end"
 
 
 _FIELDS = {
-    "stem": _pick(["tps55287", "XB3306D", "note on power", "IP5310", "cn3791", "rk3588 guide", "plain", "LMR33630"]),
-    "original_name": _pick([None, "2410121637_XySemi-XB3306D_C2759992.pdf", "2410121637_TECH-PUBLIC-AO3400_C1.pdf", "datasheet.pdf", "2410121637_XI-AN-Aerosemi-Tech-MT3608_C84817.pdf"]),
-    "source_file": _pick(["a.pdf", "XB3306D.pdf", None, "other.pdf", "CN3791.PDF", "lmr.pdf", "b.pdf", "c.pdf", "Ina701.pdf", "e.pdf", "f.pdf"]),
-    "category": _pick(["Power", "RF/LoRa", "Misc/MCUs/old", None, "Solar and MPPT", "", "Application Notes/x"]),
-    "part": _pick([None, "TPS55287", "sn_74lvc", "BQ24074", "unknown", "RV-8803", "", "ADP1613", "TPSM8", "mic2800", "ZZ1", "LT3652", "DW01A"]),
-    "doc_id": _pick(["", "SLVSCE0", None, None, "ds40002204A", "DS12", None, None, None, None, None, None, None, None, None, None, None]),
-    "title": _pick([
+    "stem": pick(["tps55287", "XB3306D", "note on power", "IP5310", "cn3791", "rk3588 guide", "plain", "LMR33630"]),
+    "original_name": pick([None, "2410121637_XySemi-XB3306D_C2759992.pdf", "2410121637_TECH-PUBLIC-AO3400_C1.pdf", "datasheet.pdf", "2410121637_XI-AN-Aerosemi-Tech-MT3608_C84817.pdf"]),
+    "source_file": pick(["a.pdf", "XB3306D.pdf", None, "other.pdf", "CN3791.PDF", "lmr.pdf", "b.pdf", "c.pdf", "Ina701.pdf", "e.pdf", "f.pdf"]),
+    "category": pick(["Power", "RF/LoRa", "Misc/MCUs/old", None, "Solar and MPPT", "", "Application Notes/x"]),
+    "part": pick([None, "TPS55287", "sn_74lvc", "BQ24074", "unknown", "RV-8803", "", "ADP1613", "TPSM8", "mic2800", "ZZ1", "LT3652", "DW01A"]),
+    "doc_id": pick(["", "SLVSCE0", None, None, "ds40002204A", "DS12", None, None, None, None, None, None, None, None, None, None, None]),
+    "title": pick([
         "60-V step-down converter", "Protection of Charger Reverse", "Low-dropout linear regulator", "buck and boost controller", "Four-switch design", "How to use a fuel gauge", "Sub-GHz transceiver", None, "Holtek timer", "Battery charger",
         "Cortex-A vision processor", "linear charger by Semtech", "N-ch MOSFET", "RJ45 magjack", "USB Type-C to serial", "comparator", "Solar tracker", "nothing said", "ideal diode",
     ]),
-    "description": _pick([None, "by Texas Instruments", "boost", "", "Analog Devices part", "op amp", "see ti.com", "eFuse", "plain", "LoRa", "an AVR", "x", "dc/dc", "y", "z", "w", "v", "u", "t", "s", "r", "q", "Maxim"]),
-    "export_category": _pick([None, "", "Amplifiers", None, "DC/DC converters", None, "Battery management ICs", "Other", None, None, "Digital power monitors", None, None, None, "Amplifiers", None, None, None, None, None, None, None, None, None, None, None, None, None, None]),
-    "export_subcategory": _pick(["", "Battery charger ICs", None, "Linear regulators", "x", "Comparators"]),
-    "export_function": _pick([None, "Charger", "monitor", "solar charger", ""]),
-    "export_topology": _pick([None, "", None, None, "Buck", None, None, "Buck/Boost", None, None, None, "Boost", None, "Linear", None, None, None, "Flyback", None, None, None, None, None, None, None, None, None, None, None, None, None]),
-    "text_topology": _pick([None, "linear", None, "", None, None, "sepic", None, None]),
-    "parse_error": _pick([None, None, "timeout"]),
+    "description": pick([None, "by Texas Instruments", "boost", "", "Analog Devices part", "op amp", "see ti.com", "eFuse", "plain", "LoRa", "an AVR", "x", "dc/dc", "y", "z", "w", "v", "u", "t", "s", "r", "q", "Maxim"]),
+    "export_category": pick([None, "", "Amplifiers", None, "DC/DC converters", None, "Battery management ICs", "Other", None, None, "Digital power monitors", None, None, None, "Amplifiers", None, None, None, None, None, None, None, None, None, None, None, None, None, None]),
+    "export_subcategory": pick(["", "Battery charger ICs", None, "Linear regulators", "x", "Comparators"]),
+    "export_function": pick([None, "Charger", "monitor", "solar charger", ""]),
+    "export_topology": pick([None, "", None, None, "Buck", None, None, "Buck/Boost", None, None, None, "Boost", None, "Linear", None, None, None, "Flyback", None, None, None, None, None, None, None, None, None, None, None, None, None]),
+    "text_topology": pick([None, "linear", None, "", None, None, "sepic", None, None]),
+    "parse_error": pick([None, None, "timeout"]),
 }
 _ENDS = "cast(p_size % 13 as double) as vin_min, case when p_size % 4 <> 0 then cast(p_size % 9 as double) end as vout_max"
 _FIXTURE = "select p_partkey, " + ", ".join(f"{v} as {k}" for k, v in _FIELDS.items()) + f", {_ENDS} from part"
 _INDEX = """(values (1, 1, '# Datasheets'), (1, 2, '[[early.pdf]]'), (1, 3, '## Battery chargers (CN / TP / other) '), (1, 4, '- [[CN3791.pdf|solar]] and [[TP4056]]'), (1, 5, 'plain line'), (1, 6, '## Unknown section'), (1, 7, '[[lost.pdf]]'),
  (1, 8, '## Protection, Supervisors & eFuses'), (1, 9, '[[XB3306D.pdf#page=2]] [[XB3306D.pdf]] [[tp4056]]'), (1, 10, '## Current Sensors'), (1, 11, '* [[ INA701.pdf ]]'), (1, 12, '## Buck-Boost Converters'), (1, 13, '[[LMR.pdf]], [[e]]'), (1, 14, '### [[f]]')) as t(doc, line_no, line)"""
-_SECTIONS = "(values " + ", ".join(f"({_lit(k)}, {_lit(v[0])}, {_lit(v[1])})" for k, v in c.SECTIONS.items()) + ") as s(section, curated_type, curated_topology)"
+_SECTIONS = "(values " + ", ".join(f"({lit(k)}, {lit(v[0])}, {lit(v[1])})" for k, v in c.SECTIONS.items()) + ") as s(section, curated_type, curated_topology)"
 _INDEX_SQL = rf"""h as (select *, last_value(case when regexp_matches(line, '^##\s') then lower(trim(regexp_extract(line, '^##\s+(.*?)\s*$', 1))) end ignore nulls) over (partition by doc order by line_no) as section from {_INDEX}),
 l as (select line_no, section, unnest(regexp_extract_all(line, '\[\[([^\]|#]+?)(?:\|[^\]]*)?\]\]', 1)) as link from h where not regexp_matches(line, '^##\s')), l2 as (select line_no, section, lower(trim(link)) as name from l),
 n as (select line_no, section, name from l2 union select line_no, section, regexp_replace(name, '\.pdf$', '') from l2),
@@ -63,22 +63,22 @@ def curated_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _case(text: str, rules: list[tuple[str, str]]) -> str:
-    return "case " + " ".join(f"when regexp_matches({text}, {_lit('(?i)' + p)}) then {_lit(v)}" for v, p in rules) + " end"
+    return "case " + " ".join(f"when regexp_matches({text}, {lit('(?i)' + p)}) then {lit(v)}" for v, p in rules) + " end"
 
 
 def _map(key: str, values: dict[str, str]) -> str:
-    return f"case {key} " + " ".join(f"when {_lit(k)} then {_lit(v)}" for k, v in values.items()) + " end"
+    return f"case {key} " + " ".join(f"when {lit(k)} then {lit(v)}" for k, v in values.items()) + " end"
 
 
-_BOTH, _DOWN, _UP, _LINEAR = (_lit("(?i)" + p) for p in c.TITLE_TOPOLOGY)
+_BOTH, _DOWN, _UP, _LINEAR = (lit("(?i)" + p) for p in c.TITLE_TOPOLOGY)
 
 
 def _shape(t: str) -> str:
     return f"case when regexp_matches({t}, {_BOTH}) or (regexp_matches({t}, {_DOWN}) and regexp_matches({t}, {_UP})) then 'buck-boost' when regexp_matches({t}, {_DOWN}) then 'buck' when regexp_matches({t}, {_UP}) then 'boost' when regexp_matches({t}, {_LINEAR}) then 'linear' end"
 
 
-_MAKERS = "(values " + ", ".join(f"({_lit(k)}, {_lit(v)})" for k, v in c.PART_PREFIXES.items()) + ") as m(prefix, owner)"
-_SUPPLIERS = "case " + " ".join(f"when starts_with(middle, {_lit(p)}) then {_lit(v)}" for p, v in c.SUPPLIER_PREFIXES) + " end"
+_MAKERS = "(values " + ", ".join(f"({lit(k)}, {lit(v)})" for k, v in c.PART_PREFIXES.items()) + ") as m(prefix, owner)"
+_SUPPLIERS = "case " + " ".join(f"when starts_with(middle, {lit(p)}) then {lit(v)}" for p, v in c.SUPPLIER_PREFIXES) + " end"
 _CLASSIFIED = rf"""with {_INDEX_SQL}, f as ({_FIXTURE}),
 e as (select p_partkey, vin_min, vout_max, {", ".join(f"coalesce({k}, '') as {k}" for k in _FIELDS)} from f),
 k as (select e.*, coalesce(a.curated_type, b.curated_type, '') as ct, coalesce(case when a.name is not null then a.curated_topology else b.curated_topology end, '') as cs, lower(export_category) as cat, concat_ws(' ', part, title, description, stem) as blob,
@@ -114,15 +114,15 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SENTENCES = [
-    _pick(["A buck stage", "Unlike a boost converter", "A SEPIC input", "Step-up mode", "Nothing"]),
-    _pick(["smaller vs. an LDO", "an isolated dc/dc brick", "a low dropout pass", "linear Li charging", "a charge pump", "step up/down", "plain"]),
-    _pick(["boost output", None, "inverting buck regulator", "other devices use flyback"]),
+    pick(["A buck stage", "Unlike a boost converter", "A SEPIC input", "Step-up mode", "Nothing"]),
+    pick(["smaller vs. an LDO", "an isolated dc/dc brick", "a low dropout pass", "linear Li charging", "a charge pump", "step up/down", "plain"]),
+    pick(["boost output", None, "inverting buck regulator", "other devices use flyback"]),
 ]
 _PROSE = "select p_partkey, concat_ws('. ', " + ", ".join(_SENTENCES) + ") as text from part"
 
 
-@query(f"""with f as (select p_partkey, string_split(text, '. ') as s from ({_PROSE})), u as (select p_partkey, unnest(s) as x, generate_subscripts(s, 1) as i from f), v as (select * from u where not regexp_matches(x, {_lit('(?i)' + c.COMPARISONS)})),
-w as (""" + " union all ".join(f"select p_partkey, min(i) as pos, {i} as rank, {_lit(v)} as term from v where regexp_matches(x, {_lit('(?i)' + p)}) group by p_partkey" for i, (v, p) in enumerate(c.TOPOLOGIES)) + """),
+@query(f"""with f as (select p_partkey, string_split(text, '. ') as s from ({_PROSE})), u as (select p_partkey, unnest(s) as x, generate_subscripts(s, 1) as i from f), v as (select * from u where not regexp_matches(x, {lit('(?i)' + c.COMPARISONS)})),
+w as (""" + " union all ".join(f"select p_partkey, min(i) as pos, {i} as rank, {lit(v)} as term from v where regexp_matches(x, {lit('(?i)' + p)}) group by p_partkey" for i, (v, p) in enumerate(c.TOPOLOGIES)) + """),
 g as (select p_partkey, list(term order by pos, rank) as found from w group by p_partkey), h as (select p_partkey, coalesce(found, []) as found from f left join g using (p_partkey))
 select p_partkey, case when list_contains(found, 'buck-boost') or (list_contains(found, 'buck') and list_contains(found, 'boost')) then 'buck-boost' when list_contains(found, 'buck') then 'buck' when list_contains(found, 'boost') then 'boost' when list_contains(found, 'linear') then 'linear' else coalesce(found[1], '') end as derived,
  array_to_string(found, ',') as found from h""")
