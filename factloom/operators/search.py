@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.database import Table, shared_folder
+
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
@@ -52,49 +56,84 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def inverted_index(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, term): the postings of a full-text index, positions from 0."""
-    return df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+def postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, pos): the postings of a full-text index, positions from 0, and for each text a row of the empty term whose
+    position is its number of tokens. Null texts have none."""
+    t = F.concat(tokens(F.col(text)), F.array(F.lit("")))
+    return df.select(key, F.posexplode(t).alias("pos", "term")).select(key, "term", "pos")
+
+
+def stored_index(spark: SparkSession, path: str, key: str, text: str = "text") -> DataFrame:
+    """The postings of the parquet table at path, written once to the shared folder and read from there while the table's
+    files keep their names, sizes and times.
+
+    A file of postings is sorted by term, so that a filter of terms reads only the pages that hold them, and a frequent
+    term lies in all files. Writing moves no posting between tasks; texts are dealt again only where the table has fewer
+    partitions than the session has cores.
+    """
+    docs = spark.read.parquet(path)
+    files = docs.groupBy("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").count()
+    stamp = files.agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0]
+    name = hashlib.sha1(f"{path} {key} {text} {stamp}".encode()).hexdigest()
+    made, stored = postings(docs, key, text), Table(spark, f"{shared_folder(spark)}/postings-{name}")
+    if not stored.manifest():
+        cores = spark.sparkContext.defaultParallelism
+        few = docs.rdd.getNumPartitions() < cores
+        dealt = postings(docs.select(key, text).repartition(cores), key, text) if few else made
+        stored.replace(dealt.sortWithinPartitions("term"))
+    return stored.read(made.schema)
 
 
-def match_all(df: DataFrame, key: str, terms: list[str], text: str = "text") -> DataFrame:
-    """Rows whose text has every term; a term that ends in * is a prefix. Decided within the row."""
-    t = tokens(F.col(text))
-    rows = df.select(key, t.alias("_t"))
-    starts = lambda head: F.exists("_t", lambda w: w.startswith(head))
+def _is(term: str) -> Column:
+    """Whether a posting is of term; one that ends in * is a prefix."""
+    return F.col("term").startswith(term[:-1]) if term.endswith("*") else F.col("term") == term
+
+
+def _any(terms: list[str]) -> Column:
+    out = F.lit(False)
     for x in terms:
-        rows = rows.filter(starts(x[:-1]) if x.endswith("*") else F.array_contains("_t", x))
-    return rows.select(key)
+        out = out | _is(x)
+    return out
+
+
+def match_terms(index: DataFrame, key: str, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
+    """Keys that have every term of `every`, one of `some` if any are given, and none of `none`; one aggregate."""
+    found = index.filter(_any([*every, *some, *none])).groupBy(key)
+    tests = [F.bool_or(_is(x)) for x in every] + ([F.bool_or(_any(some))] if some else []) + [~F.bool_or(_is(x)) for x in none]
+    return found.agg(*[t.alias(f"_t{i}") for i, t in enumerate(tests)]).filter(" and ".join(f"_t{i}" for i in range(len(tests)))).select(key)
 
 
-def match_phrase(df: DataFrame, key: str, words: list[str], text: str = "text") -> DataFrame:
-    """(key, hits): how often the words follow one another."""
-    want, n = F.array(*[F.lit(w) for w in words]), len(words)
+def match_phrase(index: DataFrame, key: str, words: list[str]) -> DataFrame:
+    """(key, hits): how often the words, 63 at most, follow one another."""
+    if len(words) > 63:
+        raise ValueError("a phrase has 63 words at most")
+    at = F.array(*[F.when(F.col("term") == w, F.struct((F.col("pos") - i).alias("start"), F.lit(1 << i).cast("long").alias("bit"))) for i, w in enumerate(words)])
+    starts = index.filter(F.col("term").isin(*words)).select(key, F.inline(F.array_compact(at)))
+    whole = starts.groupBy(key, "start").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == (1 << len(words)) - 1)
+    return whole.groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
 
-    def times(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.slice(t, i, F.lit(n)) == want)
-        return F.size(at)
 
-    # bound within one expression, so that a filter above it doesn't tokenise again for each position
-    hits = F.element_at(F.transform(F.array(tokens(F.col(text))), times), 1)
-    return df.select(key, hits.alias("hits")).filter("hits > 0")
+def match_near(index: DataFrame, key: str, a: str, b: str, most: int = 10) -> DataFrame:
+    """Keys in which two different terms stand with at most `most` tokens between them: of all postings of both, the nearest
+    two of different terms are neighbours."""
+    w = Window.partitionBy(key).orderBy("pos")
+    both = index.filter(F.col("term").isin(a, b)).withColumns({"_term": F.lag("term").over(w), "_pos": F.lag("pos").over(w)})
+    return both.filter((F.col("term") != F.col("_term")) & (F.col("pos") - F.col("_pos") - 1 <= most)).select(key).distinct()
 
 
-def match_near(df: DataFrame, key: str, a: str, b: str, most: int = 10, text: str = "text") -> DataFrame:
-    """Rows in which a and b stand with at most `most` tokens between them: a band join of their postings."""
-    post = inverted_index(df, key, text).filter(F.col("term").isin(a, b))
-    left, right = post.filter(F.col("term") == a).select(key, F.col("pos").alias("p")), post.filter(F.col("term") == b).select(F.col(key).alias("_k"), F.col("pos").alias("q"))
-    near = left.join(right, F.col(key) == F.col("_k")).filter(F.abs(F.col("p") - F.col("q")) - 1 <= most)
-    return near.select(key).distinct()
+def match_query(index: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys that a query of words finds: NEAR(a b) and NEAR(a b, n) are proximity, ten tokens unless n says otherwise; NEAR
+    without brackets is a word like any other."""
+    near = re.fullmatch(r"\s*NEAR\(\s*(\w+)\s+(\w+)\s*(?:,\s*(\d+)\s*)?\)\s*", text)
+    if near:
+        return match_near(index, key, near[1].lower(), near[2].lower(), int(near[3] or 10))
+    return match_terms(index, key, [w.lower() for w in re.findall(r"\w+\*?", text)])
 
 
-def bm25(df: DataFrame, key: str, terms: list[str], k: float = 1.2, b: float = 0.75, text: str = "text") -> DataFrame:
-    """(key, rank) of rows with any term. One aggregate gives document counts and the mean length."""
-    rows = df.select(key, tokens(F.col(text)).alias("_t")).withColumn("_n", F.size("_t"))
-    times = lambda x: F.size(F.filter("_t", lambda w: w == x))
-    for i, x in enumerate(terms):
-        rows = rows.withColumn(f"_f{i}", times(x))
-    rows = rows.drop("_t")
+def bm25(index: DataFrame, key: str, terms: list[str], k: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, rank) of keys with any term. Document counts and the mean length come from one aggregate of the same rows."""
+    rows = index.filter(F.col("term").isin("", *terms)).groupBy(key).agg(
+        F.sum(F.when(F.col("term") == "", F.col("pos"))).alias("_n"), *[F.count_if(F.col("term") == x).alias(f"_f{i}") for i, x in enumerate(terms)])
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     rank = F.lit(0.0)
     for i in range(len(terms)):

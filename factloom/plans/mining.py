@@ -52,41 +52,55 @@ def run_together(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter((F.length("line") >= 20) & (spaces / F.length("line") < 0.06)).select("doc_id", (F.col("i") + 1).alias("line_no"), F.length("line").alias("size"))
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return search.stored_index(spark, f"{d}/documents.parquet", "doc_id")
+
+
 @query(f"select doc_id from documents where list_contains({_TOK}, 'the') and list_contains({_TOK}, 'thing') and not list_contains({_TOK}, 'zz')")
 def fts_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_all(table(spark, d, "documents"), "doc_id", ["the", "thing"])
+    return search.match_terms(_index(spark, d), "doc_id", ["the", "thing"])
 
 
 @query(f"select doc_id from documents where len(list_filter({_TOK}, lambda x: starts_with(x, 'licen'))) > 0")
 def fts_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_all(table(spark, d, "documents"), "doc_id", ["licen*"])
+    return search.match_terms(_index(spark, d), "doc_id", ["licen*"])
 
 
 @query(f"""with t as (select doc_id, {_TOK} as w from documents)
 select doc_id, count(*) as hits from (select doc_id, term, lead(term) over (partition by doc_id order by i) as after from (select doc_id, unnest(range(len(w))) as i, unnest(w) as term from t))
 where term = 'of' and after = 'the' group by doc_id""")
 def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_phrase(table(spark, d, "documents"), "doc_id", ["of", "the"])
+    return search.match_phrase(_index(spark, d), "doc_id", ["of", "the"])
 
 
 @query(f"""with t as (select doc_id, {_TOK} as w from documents), p as (select doc_id, unnest(range(len(w))) as i, unnest(w) as term from t)
 select distinct a.doc_id from p a join p b using (doc_id) where a.term = 'with' and b.term = 'from' and abs(a.i - b.i) - 1 <= 10""")
 def fts_near(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_near(table(spark, d, "documents"), "doc_id", "with", "from")
+    return search.match_near(_index(spark, d), "doc_id", "with", "from")
 
 
 @query(f"select doc_id from documents where (list_contains({_TOK}, 'license') or list_contains({_TOK}, 'token')) and not list_contains({_TOK}, 'und')")
 def fts_or_not(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    either = search.match_all(docs, "doc_id", ["license"]).union(search.match_all(docs, "doc_id", ["token"])).distinct()
-    return either.join(search.match_all(docs, "doc_id", ["und"]), "doc_id", "left_anti")
+    return search.match_terms(_index(spark, d), "doc_id", some=["license", "token"], none=["und"])
+
+
+@query(f"select doc_id from documents where list_contains({_TOK}, 'with') and list_contains({_TOK}, 'near') and list_contains({_TOK}, 'from')")
+def fts_near_is_a_word(spark: SparkSession, d: str) -> DataFrame:
+    """Without brackets, NEAR is searched for like any other word."""
+    return search.match_query(_index(spark, d), "doc_id", "with NEAR from")
+
+
+@query(f"""with t as (select doc_id, {_TOK} as w from documents), p as (select doc_id, unnest(range(len(w))) as i, unnest(w) as term from t)
+select distinct a.doc_id from p a join p b using (doc_id) where a.term = 'of' and b.term = 'and' and abs(a.i - b.i) - 1 <= 3""")
+def fts_near_form(spark: SparkSession, d: str) -> DataFrame:
+    return search.match_query(_index(spark, d), "doc_id", "NEAR(of and, 3)")
 
 
 @query(f"""with t as (select doc_id, {_TOK} as w from documents), f as (select doc_id, len(w) as n, len(list_filter(w, lambda x: x = 'license')) as a, len(list_filter(w, lambda x: x = 'token')) as b from t),
 s as (select count(*) as n, avg(n) as mean, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from f)
 select doc_id, round(r, 6) as rank from (select doc_id, ln(1 + (s.n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * f.n / mean)) + ln(1 + (s.n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * f.n / mean)) as r from f, s) where r > 0""")
 def fts_rank(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(spark, d, "documents"), "doc_id", ["license", "token"]).withColumn("rank", F.round("rank", 6))
+    return search.bm25(_index(spark, d), "doc_id", ["license", "token"]).withColumn("rank", F.round("rank", 6))
 
 
 @query()

@@ -7,7 +7,10 @@ buckets by key, and a merge writes only the buckets that it touches.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -18,14 +21,24 @@ from pyspark.sql.types import StructType
 _MANIFEST, BUCKETS = "_manifest.json", 64
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in a local session without one, a temporary folder."""
+@functools.cache
+def _own_folder() -> str:
+    made = tempfile.mkdtemp(prefix="factloom-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in a local session without one, a temporary one of this process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="factloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or _own_folder()).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
