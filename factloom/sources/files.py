@@ -159,3 +159,12 @@ def append_log(df: DataFrame, path: str) -> None:
 def write_plan(df: DataFrame, path: str) -> None:
     """A plan as tab-separated values, with a header."""
     df.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def layout_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of a layout reader's output below path, doc (the folder) and chunk (the file's name, in page order) first."""
+    from factloom.operators.trees import LAYOUT
+
+    rows = spark.read.schema(LAYOUT).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="p[0-9][0-9][0-9][0-9]-[0-9][0-9][0-9][0-9].json")
+    at = F.split(F.col("_metadata.file_path"), "/")
+    return rows.select(F.element_at(at, -2).alias("doc"), F.element_at(at, -1).alias("chunk"), *[f for f in rows.columns])
