@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
@@ -39,27 +39,33 @@ RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 
+_PIECES = "array<struct<gap:int,match:string>>"
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
 LEDGER = f"blob string, checked array<string>, spans {_SPANS}"
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans in code points; pieces between the matches give their places."""
-    pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("size"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("held"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc.at + x["gap"]).cast("int")
-        end = (start + x["size"]).cast("int")
-        made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.name).alias("rule"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc.out, F.array(made))).otherwise(acc.out).alias("out"))
-
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc.out)
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(_SPANS))
+def pieces(text: Column, rule: Rule) -> Column:
+    """array of struct(gap, match): the length of what stands before each match, and the match; empty for most texts,
+    which are looked at once."""
+    cut = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("match"))
+    return F.when(text.rlike(rule.pattern), F.filter(cut, lambda x: x["match"].isNotNull())).otherwise(F.array().cast(_PIECES))
+
+
+def placed(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, checked, spans from blob, checked, pieces (an array for each rule): places in code points are sums over what
+    stands before, by a window over a text's matches, so that a text of many matches costs no more than their number."""
+    held = F.filter(F.transform("pieces", lambda x, i: F.struct(i.alias("rank"), x.alias("piece"))), lambda x: F.size(x["piece"]) > 0)
+    each = found.repartition("blob").withColumn("row", F.monotonically_increasing_id()).select("blob", "checked", "row", F.explode_outer(held).alias("x"))
+    each = each.select("blob", "checked", "row", "x.rank", F.posexplode_outer("x.piece").alias("at", "x"))
+    before = Window.partitionBy("blob", "row", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum(F.col("x.gap") + F.length("x.match")).over(before).cast("int"))
+    long = [F.when(F.col("rank") == i, F.length(F.regexp_extract("x.match", r.pattern, r.group)) >= r.least) for i, r in enumerate(rules)]
+    of = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("end") - F.length("x.match")).alias("start"), "rank", of("kind").alias("kind"), "end", of("name").alias("rule"))
+    kept = F.when(F.col("x").isNotNull() & F.coalesce(*long), span)
+    made = each.groupBy("blob", "row").agg(F.first("checked").alias("checked"), F.array_sort(F.collect_list(kept)).cast(_SPANS).alias("spans"))
+    # rows that repeat a doc_id and its text were each scanned
+    return made.groupBy("blob").agg(F.first("checked").alias("checked"), F.first("spans").alias("spans"))
 
 
 def blob(text: Column) -> Column:
@@ -82,37 +88,54 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), blob(F.col("text")).alias("blob"))
     # the narrow side is hashed, so that texts move once and aren't sorted
     one = texts.join(reps.hint("shuffle_hash"), (F.col("doc_id").eqNullSafe(F.col("_rep"))) & (F.col("blob") == F.col("_blob")))
-    found = F.concat(*[F.when(F.array_contains("_todo", r.name), spans(F.col("_text"), r, i)).otherwise(F.array().cast(_SPANS)) for i, r in enumerate(rules)])
-    made = one.select("blob", F.col("_todo").alias("checked"), F.array_sort(found).alias("spans"))
-    # rows that repeat a doc_id and its text were each scanned
-    return made.groupBy("blob").agg(F.first("checked").alias("checked"), F.first("spans").alias("spans"))
+    found = F.array(*[F.when(F.array_contains("_todo", r.name), pieces(F.col("_text"), r)).otherwise(F.array().cast(_PIECES)) for r in rules])
+    return placed(one.select("blob", F.col("_todo").alias("checked"), found.alias("pieces")), rules)
 
 
 def join_back(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row of docs (doc_id) with the spans that the given rule versions have found in its blob, and no others."""
+    return with_spans(docs.select("doc_id", blob(F.col("text")).alias("blob")), ledger, rules)
+
+
+def with_spans(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """paths (blob and others) with the spans of each one's blob."""
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     current = F.filter("spans", lambda s: rank[s.rule].isNotNull())
     placed = F.transform(current, lambda s: s.withField("rank", rank[s.rule]))
     hits = ledger.select("blob", placed.alias("spans")).filter(F.size("spans") > 0)
-    hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return docs.select("doc_id", blob(F.col("text")).alias("blob")).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    # sorted, equal spans are neighbours
+    hits = hits.select("blob", F.filter("all", lambda s, i: (i == 0) | (s != F.get(F.col("all"), i - 1))).alias("spans"))
+    return paths.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
 class Ledger:
-    """The ledger as a table in a folder that scans append to, one part a scan, and that later sessions open again."""
+    """The ledger as tables in a folder that scans append to and that later sessions open again: `blobs` has what rule
+    versions found in each blob, `paths` which blob each path had in each version of the corpus."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_dir(spark, "ledger")
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.begun = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _there(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def rows(self) -> DataFrame | None:
-        return self.spark.read.schema(LEDGER).parquet(self.path) if self.begun else None
+        return self.spark.read.schema(LEDGER).parquet(f"{self.path}/blobs") if self._there("blobs") else None
 
     def record(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan what is new: blobs that the ledger lacks with all rules, those it has with the versions that they lack."""
-        scan_unseen(docs, self.rows(), rules).write.mode("append").parquet(self.path)
-        self.begun = True
+        scan_unseen(docs, self.rows(), rules).write.mode("append").parquet(f"{self.path}/blobs")
+
+    def commit(self, docs: DataFrame, version: str, rules: tuple[Rule, ...] = RULES) -> None:
+        """Record docs (doc_id, text) as a version of the corpus. A version that is committed again replaces its paths."""
+        self.record(docs, rules)
+        docs.select("doc_id", blob(F.col("text")).alias("blob")).write.mode("overwrite").parquet(f"{self.path}/paths/version={version}")
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """version, doc_id, blob, spans: findings of the given rule versions in all paths of all versions."""
+        paths = self.spark.read.schema("doc_id long, blob string, version string").parquet(f"{self.path}/paths")
+        return with_spans(paths, self.rows(), rules)
 
 
 #: The rule books of the scans that scan_documents makes, one after another: an earlier one, and the present one.
