@@ -72,6 +72,29 @@ def test_only_current_versions_findings_come_back(spark):
     assert [[s.rule for s in r.spans] for r in old.orderBy("doc_id").collect()] == [["assign@1"]] * 4
 
 
+def test_versions_of_a_corpus_share_scans(spark):
+    """Two runs over one ledger folder: the second scans blobs that are new, findings come back to all paths of both."""
+    one = [(1, "token: abcdefgh"), (2, "nothing"), (3, "api_key=zyxwvuts"), (3, "api_key=zyxwvuts")]
+    two = [(1, "token: abcdefgh"), (2, "password=qwertyu"), (4, "api_key=zyxwvuts")]
+    path = secrets.Ledger(spark).path
+    secrets.Ledger(spark, path).commit(docs(spark, one), "a")
+    assert secrets.Ledger(spark, path).rows().count() == 3
+    again = secrets.Ledger(spark, path)
+    assert secrets.scan_unseen(docs(spark, two), again.rows()).count() == 1
+    again.commit(docs(spark, two), "b")
+    assert again.rows().count() == 4
+    again.commit(docs(spark, two), "b")
+    got = {(r.version, r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in again.history().collect()}
+    assert got == {("a", 1, (("assign", 0, 15),)), ("a", 2, ()), ("a", 3, (("assign", 0, 16),)), ("b", 1, (("assign", 0, 15),)), ("b", 2, (("assign", 0, 16),)), ("b", 4, (("assign", 0, 16),))}
+
+
+def test_a_text_of_many_spans(spark):
+    """Places come from one running sum: 100,000 spans in one text."""
+    text = " ".join(f"{i:024x}" for i in range(100_000))
+    row = secrets.scan_documents(docs(spark, [(1, text)])).first()
+    assert row.n_hex == 100_000 and row.spans.endswith(f"hex:{25 * 99_999}:{25 * 99_999 + 24}")
+
+
 def test_secrets_empty(spark):
     assert secrets.scan_documents(docs(spark, [])).count() == 0
 
@@ -127,3 +150,26 @@ def test_ring_moves_little(spark):
     a = {r.doc_id: r.home_shard for r in sharding.shard_documents(docs(spark, many), 8).collect()}
     b = {r.doc_id: r.home_shard for r in sharding.shard_documents(docs(spark, many), 9).collect()}
     assert all(b[i] in (a[i], 8) for i in a)
+
+
+def test_a_thousand_shards_all_have_keys():
+    nodes = sharding.virtual_nodes(1000, 64)
+    assert len(nodes) == 64_000 and len({s for _, s in nodes}) == 1000
+
+
+def test_many_shards_fill_evenly(spark):
+    many = [(i, "x") for i in range(4000)]
+    table = docs(spark, many).withColumnRenamed("keep_id", "_cut").withColumnRenamed("source", "_rank")
+    got = sharding.bounded_ring(table, table.doc_id, [table.doc_id], 300, 16)
+    assert {"_cut", "_rank", "_h"} <= set(got.columns)
+    rows_ = got.select("doc_id", "shard", "slot").collect()
+    n = collections.Counter(r.shard for r in rows_)
+    assert len(rows_) == 4000 and set(n) == set(range(300)) and set(n.values()) <= {13, 14}
+    assert len({(r.shard, r.slot) for r in rows_}) == 4000
+
+
+def test_growing_moves_few_shards(spark):
+    """From 8 to 9 shards at least a ninth of the rows has to move; overflow moves a few per cent more."""
+    many = [(i, "x") for i in range(4000)]
+    a, b = ({r.doc_id: r.shard for r in sharding.shard_documents(docs(spark, many), n).collect()} for n in (8, 9))
+    assert sum(a[i] != b[i] for i in a) < 0.25 * len(a)
