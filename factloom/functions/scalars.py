@@ -13,6 +13,10 @@ UNITS = {"V": 1.0, "A": 1.0, "W": 1.0, "HZ": 1e-3, "KHZ": 1.0, "MHZ": 1e3, "GHZ"
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "tbd")
 
 
+#: Parts of a quantity: digits with or without a point, an SI prefix.
+_DIGITS, _PREFIX = "[0-9]*\\.?[0-9]+", f"([{''.join(SI)}])"
+
+
 def norm_part(name: Column) -> Column:
     """A part number without a trailing (1), punctuation and case."""
     return F.upper(F.regexp_replace(F.regexp_replace(name, "\\s*\\([0-9]{1,2}\\)\\s*$", ""), "[^A-Za-z0-9]", ""))
@@ -36,7 +40,7 @@ def unit_scale(unit: Column) -> Column:
 def value_of(text: Column, hint: str = "") -> Column:
     """struct(value, unit) of the first number, null without one: signed, with an SI prefix applied, frequencies in kHz,
     rounded to six places. A unit is taken in any case; without one the hint counts."""
-    pattern = "(?i)([-+−]?[0-9]*\\.?[0-9]+)\\s*([pnuµμmkKMG])?\\s*(V|A|W|Hz|kHz|MHz|GHz)?"
+    pattern = f"(?i)([-+−]?{_DIGITS})\\s*{_PREFIX}?\\s*({'|'.join(UNITS)})?"
     g = lambda k: F.regexp_extract(text, pattern, k)
     unit = F.upper(F.when(g(3) != "", g(3)).otherwise(hint))
     value = F.translate(g(1), "−", "-").try_cast("double") * _factor(SI, g(2)) * _factor(UNITS, unit)
@@ -44,7 +48,7 @@ def value_of(text: Column, hint: str = "") -> Column:
 
 
 #: A number with an SI prefix, and what must follow it. What follows can't begin a number, so it may be consumed.
-_NUMBER = "([-+]?[0-9]*\\.?[0-9]+)\\s*([pnuµμmkKMG])?(?:\\s|$|[VAWH])"
+_NUMBER = f"([-+]?{_DIGITS})\\s*{_PREFIX}?(?:\\s|$|[VAWH])"
 
 
 def numbers_in(text: Column, unit_factor: Column | None = None) -> Column:
@@ -94,8 +98,11 @@ def claims(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def identifiers(text: Column) -> Column:
     """struct(doi, arxiv, year) of a first page."""
-    g = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return F.struct(g("(10\\.[0-9]{4,9}/[^\\s\"<>]+)").alias("doi"), g("arXiv:([0-9]{4}\\.[0-9]{4,5})").alias("arxiv"), g("\\b((?:19|20)[0-9]{2})\\b").alias("year"))
+    g = lambda p: F.regexp_extract(text, p, 1)
+    some = lambda c, name: F.nullif(c, F.lit("")).alias(name)
+    # a DOI goes up to white space, quotes and separators of the sentence around it
+    doi = g("\\b(10\\.[0-9]{4,9}/[^\\s\"<>|,;)]+)")
+    return F.struct(some(doi, "doi"), some(g("arXiv: *([0-9]{4}\\.[0-9]{4,5}(?:v[0-9]+)?)"), "arxiv"), some(g("\\b((?:19|20)[0-9]{2})\\b"), "year"))
 
 
 def demote_headings(text: Column) -> Column:

@@ -42,8 +42,13 @@ _FIXTURE = "select p_partkey, " + ", ".join(f"{v} as {k}" for k, v in _FIELDS.it
 _INDEX = """(values (1, 1, '# Datasheets'), (1, 2, '[[early.pdf]]'), (1, 3, '## Battery chargers (CN / TP / other) '), (1, 4, '- [[CN3791.pdf|solar]] and [[TP4056]]'), (1, 5, 'plain line'), (1, 6, '## Unknown section'), (1, 7, '[[lost.pdf]]'),
  (1, 8, '## Protection, Supervisors & eFuses'), (1, 9, '[[XB3306D.pdf#page=2]] [[XB3306D.pdf]] [[tp4056]]'), (1, 10, '## Current Sensors'), (1, 11, '* [[ INA701.pdf ]]'), (1, 12, '## Buck-Boost Converters'), (1, 13, '[[LMR.pdf]], [[e]]'), (1, 14, '### [[f]]')) as t(doc, line_no, line)"""
 _SECTIONS = "(values " + ", ".join(f"({lit(k)}, {lit(v[0])}, {lit(v[1])})" for k, v in c.SECTIONS.items()) + ") as s(section, curated_type, curated_topology)"
-_INDEX_SQL = rf"""h as (select *, last_value(case when regexp_matches(line, '^##\s') then lower(trim(regexp_extract(line, '^##\s+(.*?)\s*$', 1))) end ignore nulls) over (partition by doc order by line_no) as section from {_INDEX}),
-l as (select line_no, section, unnest(regexp_extract_all(line, '\[\[([^\]|#]+?)(?:\|[^\]]*)?\]\]', 1)) as link from h where not regexp_matches(line, '^##\s')), l2 as (select line_no, section, lower(trim(link)) as name from l),
+_INDEX_SQL = rf"""h as (
+  select *, starts_with(line, '## ') as head,
+    last_value(case when starts_with(line, '## ') then lower(trim(line[4:])) end ignore nulls) over (partition by doc order by line_no) as section
+  from {_INDEX}),
+o as (select line_no, section, unnest(string_split(line, '[[')[2:]) as x from h where not head),
+l as (select line_no, section, string_split(string_split(x, ']]')[1], '|')[1] as link from o where contains(x, ']]')),
+l2 as (select line_no, section, lower(trim(link)) as name from l where link <> '' and not contains(link, '#')),
 n as (select line_no, section, name from l2 union select line_no, section, regexp_replace(name, '\.pdf$', '') from l2),
 curated as (select name, arg_max(curated_type, line_no) as curated_type, arg_max(curated_topology, line_no) as curated_topology from n join {_SECTIONS} using (section) group by name)"""
 

@@ -114,9 +114,17 @@ def subscript_cells(spark: SparkSession, d: str) -> DataFrame:
 _CODES, _SIZES = pick(["QFN (29)", "RGV (VQFN, 16)", "WQFN-HR", "SOT-23 (1000)", "DBV (1, 6)", "(8)"]), _lines(["4.0 mm x 4.0 mm", "2.6 mm x 2.0 mm x/1.2 mm/(max height)", "2.5mm×3.5mm", "max 3 mm X  4 mm", ""])
 
 
-@query(rf"""with t as ({_sql(c=_CODES, s=_SIZES)}), u as (select *, regexp_extract(c, '(\(.*?[0-9]{{1,3}}.*?\))', 1) as i, regexp_extract(c, '\(([A-Za-z]+)[,\s]', 1) as k, trim(regexp_replace(regexp_replace(trim(s), '[\n\r]+', ' ', 'g'), '\([^)]*\)', '', 'g')) as p from t),
-v as (select *, regexp_replace(regexp_replace(p, '(^|[^0-9A-Za-z_])[xX×]([^0-9A-Za-z_]|$)', '\1 × \2', 'g'), '([0-9])\s*mm', '\1mm', 'g') as q from u)
-select p_partkey, case when k <> '' then k else trim(regexp_replace(c, '\s*\(.*', '')) end as type, list_filter(list_transform(regexp_extract_all(i, '[0-9]+'), lambda n: n::int), lambda n: n between 2 and 512)[1] as pins, trim(regexp_replace(q, '\s{{2,}}', ' ', 'g')) as size from v""")
+@query(f"""with t as ({_sql(c=_CODES, s=_SIZES)}),
+u as (select p_partkey, string_split(c, '(') as o, string_split(coalesce(string_split(c, '(')[2], ''), ')')[1] as i, string_split(s, '(') as b from t),
+v as (
+  select p_partkey, o, i, string_split(replace(i, ',', ' '), ' ') as k,
+    list_transform(list_filter(string_split_regex(array_to_string(list_transform(b, lambda x, n: case when n > 1 and contains(x, ')') then substr(x, strpos(x, ')') + 1) else x end), ''), '\\s+'), lambda w: w <> ''),
+      lambda w: case when w in ('x', 'X') then '×' else w end) as w
+  from u)
+select p_partkey, case when len(k) > 1 and regexp_full_match(k[1], '[A-Za-z]+') then k[1] else trim(o[1]) end as type,
+  list_filter(list_transform(string_split_regex(i, '[^0-9]+'), lambda n: try_cast(n as int)), lambda n: n between 2 and 512)[1] as pins,
+  trim(list_reduce(list_prepend('', w), lambda a, x: a || case when starts_with(x, 'mm') and contains('0123456789', right(a, 1)) and a <> '' then '' else ' ' end || x)) as size
+from v""")
 def packages(spark: SparkSession, d: str) -> DataFrame:
     return _part(spark, d, c=_CODES, s=_SIZES).select("p_partkey", r.package(F.col("c"), F.col("s")).alias("x")).select("p_partkey", "x.*")
 
@@ -151,7 +159,12 @@ def sensitivity_rows(spark: SparkSession, d: str) -> DataFrame:
 _MAPS = _lines(["8.6 Register Maps", "x/  Table 3-2. Register list", "see Table 3. Registers", "the INTERNAL REGISTERS hold", "no registers", None])
 
 
-@query(rf"select p_partkey, coalesce(regexp_matches(t, '(?im)register (?:set summary|maps?|descriptions?|summary)|^\s*Table [\d-]+\.\s*Register|internal registers'), false) as named from ({_sql(t=_MAPS)})")
+_PHRASES = " or ".join(f"contains(lower(t), {lit(x)})" for x in r.MAP_PHRASES)
+
+
+@query(f"""with t as ({_sql(t=_MAPS)}),
+l as (select p_partkey, t, list_transform(string_split(lower(t), chr(10)), lambda x: trim(x)) as l from t)
+select p_partkey, coalesce({_PHRASES} or len(list_filter(l, lambda x: regexp_matches(x, '^table [0-9-]+[.] *register'))) > 0, false) as named from l""")
 def register_maps_named(spark: SparkSession, d: str) -> DataFrame:
     return _part(spark, d, t=_MAPS).select("p_partkey", r.register_map_named(F.col("t")).alias("named"))
 

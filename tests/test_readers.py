@@ -28,3 +28,18 @@ def test_nulls_and_empties(spark):
     df = spark.createDataFrame([(None, None), ("", "")], "a string, b string")
     got = df.select(readers.subscript_cell(F.col("a")).alias("s"), readers.shared_prefix(F.col("a"), F.col("b")).alias("n"), readers.author_line(F.col("a")).alias("w")).collect()
     assert [tuple(r) for r in got] == [("", 0, None)] * 2
+
+
+def test_identifiers_end_where_their_sentence_goes_on(spark):
+    texts = ["see (10.1109/abc.2020.1), arXiv: 2001.01234v2 of 2020", "10.1109/abc;x arXiv:1901.0123", "10.12/short, v10.1234/x", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.identifiers(F.col("t")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [("10.1109/abc.2020.1", "2001.01234v2", "2020"), ("10.1109/abc", "1901.0123", None), (None, None, None), (None, None, None)]
+
+
+def test_packages_and_maps(spark):
+    rows = [("QFN (29)", "4.0 mm x 4.0 mm"), ("RGV (VQFN, 16)", "2.6 mm X 2.0mm x\n1.2 mm\n(max height)"), ("WQFN-HR", "2.5mm×3.5mm"), ("SOT (1000)", ""), (None, None)]
+    got = spark.createDataFrame(rows, "c string, s string").select(readers.package(F.col("c"), F.col("s")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [("QFN", 29, "4.0mm × 4.0mm"), ("VQFN", 16, "2.6mm × 2.0mm × 1.2mm"), ("WQFN-HR", None, "2.5mm×3.5mm"), ("SOT", None, ""), (None, None, "")]
+    said = ["8.6 Register Maps", "x\n Table 3-2.Register list", "Table 3. Values", "table x. register", "REGISTER SET SUMMARY", None, "registers"]
+    got = spark.createDataFrame([(t,) for t in said], "t string").select(readers.register_map_named(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [True, True, False, False, True, False, False]
