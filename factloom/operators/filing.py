@@ -23,7 +23,9 @@ def plan(new: DataFrame, library: DataFrame, rules: list[tuple[str, str]]) -> Da
     same = one("digest", F.min("folder").alias("_same"))
     twin = one("print", F.min("folder").alias("_twin"))
     kin = one("family", F.max(F.struct("version", "folder")).alias("_kin"))
-    rows = new.withColumn("_first", F.row_number().over(Window.partitionBy("digest").orderBy("key")) == 1)
+    # the least key of a digest, joined back: a large group of copies is a count for each task, not a window in one
+    least = new.groupBy(F.col("digest").alias("_d")).agg(F.min("key").alias("_least"))
+    rows = new.join(least, F.col("digest").eqNullSafe(F.col("_d"))).withColumn("_first", F.col("key") == F.col("_least")).drop("_d", "_least")
     rows = rows.join(same, "digest", "left").join(twin, "print", "left").join(kin, "family", "left")
     ruled = first_rule(F.col("name"), rules, "")
     choice = lambda action, folder, reason: F.struct(F.lit(action).alias("action"), folder.alias("folder"), F.lit(reason).alias("reason"))
