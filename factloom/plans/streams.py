@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.plans.registry import query, table
 from factloom.sources.database import Table, written
 from factloom.sources.database import scratch as _folder
-from factloom.streaming import ingest
+from factloom.streaming import ingest, settle
 
 
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id")
@@ -82,3 +82,22 @@ def enrichment_repeated(spark: SparkSession, d: str) -> DataFrame:
     new = rows.filter("l_orderkey % 10 >= 8").select(F.col("l_suppkey").alias("doc"), F.lit("export").alias("source"), F.col("l_quantity").alias("value"))
     once = ingest.replaced_by_source(old, new, "source")
     return ingest.replaced_by_source(once, new, "source").groupBy("doc", "source", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+# A file for each user, whose length is the whole part of a value in tens; what is the same at two times in a row is one run.
+_SEEN = "select user_id::varchar as path, (floor(value / 40) * 10)::bigint as length, ts as seen, event_id from events"
+
+
+@query(f"""with o as ({_SEEN}), l as (select *, lag(length) over (partition by path order by seen, length) as was from o),
+r as (select path, length, seen as since, lead(seen) over (partition by path order by seen, length) as next from l where was is distinct from length),
+s as (select * from r where length > 0 and date_diff('microsecond', since, coalesce(next, (select max(seen) from o))) >= 43200000000),
+d as (select *, lag(length) over (partition by path order by since) as before from s)
+select path, length, since from d where before is distinct from length""")
+def settled_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that have stood still for half a day, each time that they do so anew; state and timers in one stream."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    seen = stream.selectExpr("cast(user_id as string) as path", "cast(floor(value / 40) * 10 as bigint) as length", "timestamp '2020-01-01' as modified", "cast(ts as timestamp) as seen")
+    out = _folder(spark, "settled")
+    settle.append_available(settle.settled_stream(seen, 43_200), out, _folder(spark, "checkpoint"))
+    return spark.read.schema(settle.SETTLED).parquet(out).select("path", "length", F.col("since").cast("timestamp_ntz").alias("since"))
