@@ -29,7 +29,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     agg = stream.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     out = _folder(spark, "windows")
     ingest.run_complete(agg, out, _folder(spark, "checkpoint"))
-    return spark.read.parquet(out).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "total")
+    return Table(spark, out).read(agg.schema).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "total")
 
 
 @query("select doc_id, case when n_chars > 5000 then 'deferred' else 'now' end as lane from documents")
@@ -49,7 +49,7 @@ def stream_file_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
     out = _folder(spark, "counts")
     ingest.run_complete(stream.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), out, _folder(spark, "checkpoint"))
-    return spark.read.schema("lang string, n long").parquet(out)
+    return Table(spark, out).read("lang string, n long")
 
 
 @query("""select l_orderkey % 500 as doc, count(*) as n from lineitem group by 1""")

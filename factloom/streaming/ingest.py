@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.commits import lease
 from factloom.sources.database import Table
 
 
@@ -43,17 +44,9 @@ def until_quiet(step: Callable[[], int], most: int = 20) -> int:
     return most
 
 
-@contextlib.contextmanager
-def alone(spark: SparkSession, path: str) -> Iterator[bool]:
-    """Whether this is the only writer of path: the one that could create its lock file. The loser gets False."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_lock")
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    won = fs.createNewFile(at)
-    try:
-        yield won
-    finally:
-        if won:
-            fs.delete(at, False)
+def alone(spark: SparkSession, path: str, seconds: float = 60.0) -> contextlib.AbstractContextManager[bool]:
+    """Whether this is the only writer of path; the loser gets False. A lock whose holder crashed lapses after `seconds`."""
+    return lease(spark, path, seconds)
 
 
 def unfinished(filed: DataFrame, finished: DataFrame, key: str) -> DataFrame:
@@ -83,6 +76,7 @@ def queue(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def run_complete(agg: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything that is there now; path holds the whole result after the last batch."""
-    run = agg.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path))
+    """Process everything that is there now; the table at path holds the whole result of the last batch. Readers see one
+    batch's result or the next, and a crash leaves the last."""
+    run = agg.writeStream.outputMode("complete").foreachBatch(lambda b, _: Table(b.sparkSession, path).replace(b) and None)
     run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -112,6 +112,7 @@ def test_tables_change_at_once(spark, tmp_path):
     spark.createDataFrame([(9, "lost", 9)], schema).write.parquet(f"{at.path}/v-crashed")
     assert (9, "lost", 9) not in rows()
     at.merge(spark.createDataFrame([(3, "b", 2)], schema), "k", "n", 8)
+    at.vacuum(0)
     assert len(rows()) == 50 and not (tmp_path / "t" / "v-crashed").exists()
 
 
