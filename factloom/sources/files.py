@@ -63,43 +63,46 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
     return search.split_pages(rows, ["doc"], "value")
 
 
+def _column(ref: str) -> int:
+    n = 0
+    for ch in re.match("[A-Z]*", ref)[0]:
+        n = 26 * n + ord(ch) - 64
+    return n - 1
+
+
+def sheet_rows(raw: bytes) -> list[list[str]]:
+    """Cells of a workbook's first sheet. Shared and inline strings are resolved, a link formula gives its text, columns come
+    from cell references, and rows are padded to the widest."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = z.namelist()
+        tag = lambda e: e.tag.rpartition("}")[2]
+        whole = lambda e: "".join(x.text or "" for x in e.iter() if tag(x) == "t")
+        shared = [whole(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        out = []
+        for row in (e for e in ElementTree.fromstring(z.read(min(n for n in names if re.match(r"xl/worksheets/[^/]*\.xml$", n)))).iter() if tag(e) == "row"):
+            cells: dict[int, str] = {}
+            for c in row:
+                parts = {tag(x): x for x in c}
+                value = (parts["v"].text or "") if "v" in parts else ""
+                if c.get("t") == "s":
+                    value = shared[int(value)]
+                elif c.get("t") == "inlineStr":
+                    value = whole(c)
+                if "f" in parts and (m := re.match(r'HYPERLINK\("[^"]*","([^"]*)"\)', parts["f"].text or "")):
+                    value = m[1]
+                cells[_column(c.get("r", "")) if c.get("r") else len(cells)] = value
+            out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+    widest = max(map(len, out), default=0)
+    return [r + [""] * (widest - len(r)) for r in out]
+
+
 def xlsx_rows(files: DataFrame) -> DataFrame:
-    """(path, row, cells) of the first sheet of each workbook (path, content). Shared and inline strings are resolved, a
-    link formula gives its text, columns come from cell references, and rows are padded to the widest."""
-
-    def column(ref: str) -> int:
-        n = 0
-        for ch in re.match("[A-Z]*", ref)[0]:
-            n = 26 * n + ord(ch) - 64
-        return n - 1
-
-    def rows_of(raw: bytes) -> list[list[str]]:
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            names = z.namelist()
-            tag = lambda e: e.tag.rpartition("}")[2]
-            whole = lambda e: "".join(x.text or "" for x in e.iter() if tag(x) == "t")
-            shared = [whole(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-            out = []
-            for row in (e for e in ElementTree.fromstring(z.read(min(n for n in names if re.match(r"xl/worksheets/[^/]*\.xml$", n)))).iter() if tag(e) == "row"):
-                cells: dict[int, str] = {}
-                for c in row:
-                    parts = {tag(x): x for x in c}
-                    value = (parts["v"].text or "") if "v" in parts else ""
-                    if c.get("t") == "s":
-                        value = shared[int(value)]
-                    elif c.get("t") == "inlineStr":
-                        value = whole(c)
-                    if "f" in parts and (m := re.match(r'HYPERLINK\("[^"]*","([^"]*)"\)', parts["f"].text or "")):
-                        value = m[1]
-                    cells[column(c.get("r", "")) if c.get("r") else len(cells)] = value
-                out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-        widest = max(map(len, out), default=0)
-        return [r + [""] * (widest - len(r)) for r in out]
+    """(path, row, cells) of the first sheet of each workbook (path, content)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, raw in zip(b["path"], b["content"]):
-                rows = rows_of(bytes(raw))
+                rows = sheet_rows(bytes(raw))
                 yield pd.DataFrame({"path": path, "row": range(len(rows)), "cells": rows})
 
     return files.select("path", "content").mapInPandas(read, "path string, row int, cells array<string>")
