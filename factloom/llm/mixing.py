@@ -48,7 +48,7 @@ def celled(docs: DataFrame, topics: Column | None = None) -> DataFrame:
     """_row (a row of docs), _source, _lang, _topic (nulls as a value of their own) and _tokens (words, 1 at least)."""
     text = F.coalesce("text", F.lit(""))
     named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    words = F.greatest(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(1))
     own = topic(text) if topics is None else topics
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), named(F.col("source")).alias("_source"), named(F.col("lang")).alias("_lang"),
