@@ -1,17 +1,17 @@
 """Language ID by a bidirectional gated recurrent network over bytes, in numpy.
 
-Each run of letters is a byte sequence between two spaces, at most PIECE bytes at a time. A forward and a backward GRU
-read it; a softmax over both states labels every position. A document's probabilities are the mean over all positions of
-its whole text. A sequence's labels depend on its bytes alone, so each distinct word is computed once and counted as
-often as it occurs.
+A text's lower-cased bytes, whatever they are, are one sequence. A forward and a backward GRU read it, a softmax over both
+states labels every position, and a document's probabilities are the mean over the positions of its letters. The sequence
+is read in chunks of CHUNK bytes, all of them lanes of one batch; so that a chunk's states are those of the running text,
+both networks begin WARM bytes outside it, where the gates have long let go of what came before. No position's label
+depends on how texts are dealt or batched.
 
 The network is trained by backpropagation through time on the driver, on a sample of at most SAMPLE_DOCS labelled
-documents and SAMPLE_WORDS of their words; both are parameters and don't grow with the corpus.
+documents and PER_DOC stretches of SPAN bytes of each; the parameters don't grow with the corpus.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +21,30 @@ from pyspark.sql import functions as F
 
 from .shared import trimmed
 
-SAMPLE_DOCS, SAMPLE_WORDS, PIECE = 1_600, 40_000, 24
-HIDDEN, EPOCHS, BATCH, RATE = 16, 3, 128, 0.01
-#: Pieces of words that a document gives to the sample, at most.
-PER_DOC = 100
-#: Words whose probabilities a Python worker remembers.
-CACHE = 250_000
-_WORD = re.compile(r"[^\W\d_]+")
+SAMPLE_DOCS, PER_DOC, SPAN = 1_600, 4, 64
+CHUNK, WARM = 256, 24
+HIDDEN, EPOCHS, BATCH, RATE = 8, 5, 64, 0.02
+#: Lanes that are read together.
+LANES = 1_024
+#: Bytes of letters: of ASCII, and all parts of others.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _squashed(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|) in place: from -1 to 1, and much cheaper than a hyperbolic tangent. Its slope is (1 - |y|) squared."""
+    d = np.abs(x)
+    d += 1
+    x /= d
+    return x
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The same from 0 to 1, in place."""
+    _squashed(x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 class Gru:
@@ -50,15 +63,36 @@ class Gru:
         out = np.empty((*x.shape, n), np.float32)
         for t in range(len(x)):
             a = self.table[x[t]]
-            g = _sigmoid(a[:, : 2 * n] + h @ self.u)
+            g = _gate(a[:, : 2 * n] + h @ self.u)
             z, r = g[:, :n], g[:, n:]
-            c = np.tanh(a[:, 2 * n :] + (r * h) @ self.v)
+            c = _squashed(a[:, 2 * n :] + (r * h) @ self.v)
             if keep is not None:
                 keep.append((h, z, r, c))
             h = h + z * (c - h)
             out[t] = h
         return out
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """forward without what training keeps, in buffers that every step uses again."""
+        n, b = self.v.shape[0], x.shape[1]
+        out = np.empty((*x.shape, n), np.float32)
+        h, a = np.zeros((b, n), np.float32), np.empty((b, 3 * n), np.float32)
+        g, c = np.empty((b, 2 * n), np.float32), np.empty((b, n), np.float32)
+        for t in range(len(x)):
+            np.take(self.table, x[t], 0, out=a, mode="clip")
+            np.matmul(h, self.u, out=g)
+            g += a[:, : 2 * n]
+            _gate(g)
+            np.multiply(g[:, n:], h, out=out[t])
+            np.matmul(out[t], self.v, out=c)
+            c += a[:, 2 * n :]
+            _squashed(c)
+            c -= h
+            c *= g[:, :n]
+            np.add(h, c, out=out[t])
+            h = out[t]
+        return out
+
     def backward(self, x: np.ndarray, kept: list, dout: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients from those of the outputs, back through time."""
         n = self.v.shape[0]
@@ -67,10 +101,11 @@ class Gru:
         for t in reversed(range(len(x))):
             h, z, r, c = kept[t]
             d = dout[t] + dh
-            dc = d * z * (1 - c * c)
-            dz = d * (c - h) * z * (1 - z)
+            # a gate is half of 1 and a squashed value, so its slope is twice min(y, 1 - y) squared
+            dc = d * z * (1 - np.abs(c)) ** 2
+            dz = d * (c - h) * 2 * np.minimum(z, 1 - z) ** 2
             drh = dc @ self.v.T
-            dr = drh * h * r * (1 - r)
+            dr = drh * h * 2 * np.minimum(r, 1 - r) ** 2
             gates = np.concatenate([dz, dr], 1)
             dh = d * (1 - z) + drh * r + gates @ self.u.T
             grad["u"] += h.T @ gates
@@ -89,12 +124,19 @@ class Network:
     def _parts(self) -> list[tuple[object, str]]:
         return [(g, k) for g in (self.ahead, self.back) for k in Gru.names] + [(self, "w"), (self, "b")]
 
+    def label(self, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Probabilities (time, batch, language) of positions by the states of both directions there."""
+        n = ahead.shape[2]
+        e = ahead @ self.w[:n]
+        e += back @ self.w[n:]
+        e += self.b
+        np.exp(np.minimum(e, 80, out=e), out=e)
+        e /= e @ np.ones((e.shape[2], 1), e.dtype)
+        return e
+
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (time, batch, language) of every position."""
-        h = np.concatenate([self.ahead.forward(x), self.back.forward(x[::-1])[::-1]], 2)
-        e = h @ self.w + self.b
-        e = np.exp(e - e.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True)
+        """Probabilities of every position of whole sequences."""
+        return self.label(self.ahead.forward(x), self.back.forward(x[::-1])[::-1])
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
         """Of the mean cross-entropy over all positions, in the order of _parts, and the loss."""
@@ -114,22 +156,17 @@ class Network:
         flat = d.reshape(-1, d.shape[2])
         return [g[k] for g in (one, two) for k in Gru.names] + [h.reshape(-1, 2 * n).T @ flat, flat.sum(0)], loss
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
-        """Adam over batches of words of one length. Returns the last epoch's mean loss."""
+    def train(self, spans: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
+        """Adam over batches of stretches (bytes, one row each). Returns the last epoch's mean loss."""
         rng = np.random.default_rng(seed)
-        by = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
         m = [np.zeros_like(getattr(o, k)) for o, k in self._parts()]
         s = [np.zeros_like(x) for x in m]
         step, total = 0, []
         for epoch in range(epochs):
-            batches = [np.array(c[j : j + batch]) for c in (rng.permutation(v) for v in by.values()) for j in range(0, len(c), batch)]
-            total = []
-            for k in rng.permutation(len(batches)):
-                at = batches[k]
-                x = np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(len(at), -1).T
-                grads, loss = self.gradients(x, labels[at])
+            order, total = rng.permutation(len(spans)), []
+            for k in range(0, len(order), batch):
+                at = order[k : k + batch]
+                grads, loss = self.gradients(spans[at].T, labels[at])
                 total.append(loss)
                 step += 1
                 for i, ((o, name), g) in enumerate(zip(self._parts(), grads)):
@@ -140,62 +177,55 @@ class Network:
         return float(np.mean(total)) if total else 0.0
 
 
-def pieces(word: str) -> list[bytes]:
-    """The byte sequences of a run of letters; none if nothing in it is a letter."""
-    if not word.isalpha():
-        word = "".join(c for c in word if c.isalpha())
-    raw = word.encode()
-    return [b" " + raw[i : i + PIECE] + b" " for i in range(0, len(raw), PIECE)]
+def raw(text: str | None) -> np.ndarray:
+    """The bytes that are read of a text; none of one without a letter."""
+    text = (text or "").lower()
+    return np.frombuffer(text.encode(), np.uint8) if any(map(str.isalpha, text)) else np.zeros(0, np.uint8)
+
+
+def lanes(codes: np.ndarray) -> np.ndarray:
+    """Rows of WARM bytes before a chunk, the chunk, and WARM after it; spaces stand outside the text."""
+    n = max(1, -(-len(codes) // CHUNK))
+    padded = np.full(n * CHUNK + 2 * WARM, 32, np.uint8)
+    padded[WARM : WARM + len(codes)] = codes
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK + 2 * WARM)[::CHUNK][: n if len(codes) else 0]
 
 
 class Labeller:
-    """Sums of position probabilities, and counts of positions, of words; remembers what it has computed."""
+    """Mean probabilities of texts, lanes of many texts together."""
 
     def __init__(self, net: Network):
-        self.net, self.at, self.rows = net, {}, np.zeros((0, len(net.langs) + 1), np.float32)
-
-    def compute(self, words: list[str]) -> np.ndarray:
-        cut = [(i, p) for i, w in enumerate(words) for p in pieces(w)]
-        out = np.zeros((len(words), len(self.net.langs) + 1), np.float32)
-        by: dict[int, list[int]] = {}
-        for k, (_, p) in enumerate(cut):
-            by.setdefault(len(p), []).append(k)
-        for n, ks in by.items():
-            for j in range(0, len(ks), 4096):
-                part = ks[j : j + 4096]
-                x = np.frombuffer(b"".join(cut[k][1] for k in part), np.uint8).reshape(len(part), n).T
-                p = self.net.positions(x).sum(0)
-                np.add.at(out, [cut[k][0] for k in part], np.concatenate([p, np.full((len(part), 1), n, np.float32)], 1))
+        self.net = net
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """For each lane the sums of its letters' probabilities by language, then the number of letters."""
+        out = np.empty((len(rows), len(self.net.langs) + 1))
+        for k in range(0, len(rows), LANES):
+            x = np.ascontiguousarray(rows[k : k + LANES].T)
+            ahead, back = self.net.ahead.states(x[:-WARM])[WARM:], self.net.back.states(x[: WARM - 1 : -1])[: WARM - 1 : -1]
+            p = self.net.label(ahead, back)
+            letters = _LETTER[x[WARM:-WARM]]
+            out[k : k + LANES, :-1] = np.einsum("tbl,tb->bl", p, letters.astype(np.float32))
+            out[k : k + LANES, -1] = letters.sum(0)
         return out
 
-    def sums(self, words: list[str]) -> np.ndarray:
-        """A row for each word: sums by language, then its number of positions."""
-        try:
-            return self.rows[list(map(self.at.__getitem__, words))]
-        except KeyError:
-            if len(self.at) > CACHE:
-                self.at, self.rows = {}, self.rows[:0]
-            new = [w for w in dict.fromkeys(words) if w not in self.at]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.rows = np.concatenate([self.rows, self.compute(new)])
-            return self.rows[list(map(self.at.__getitem__, words))]
-
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """Mean probabilities of each text by language; zeros if it is null or has no letter."""
-        out, words, ends, size, done = np.zeros((len(texts), len(self.net.langs))), [], [], 0, 0
+        out, held, of = np.zeros((len(texts), len(self.net.langs) + 1)), [], []
+        n = 0
         for i, t in enumerate(texts):
-            text = t.as_py() or ""
-            words += _WORD.findall(text.lower())
-            ends.append(len(words))
-            size += len(text)
-            # words of many texts are computed together
-            if size > 1_000_000 or i + 1 == len(texts):
-                if words:
-                    total = np.concatenate([np.zeros((1, out.shape[1] + 1)), np.cumsum(self.sums(words), 0, dtype=np.float64)])
-                    own = np.diff(total[[0, *ends]], axis=0)
-                    out[done : i + 1] = own[:, :-1] / np.maximum(own[:, -1:], 1)
-                words, ends, size, done = [], [], 0, i + 1
-        return out
+            rows = lanes(raw(t.as_py()))
+            # a very long text is read by parts
+            for k in range(0, len(rows), 4 * LANES):
+                held.append(rows[k : k + 4 * LANES])
+                of += [i] * len(held[-1])
+                n += len(held[-1])
+                if n >= 4 * LANES:
+                    np.add.at(out, of, self.sums(np.concatenate(held)))
+                    held, of, n = [], [], 0
+        if n:
+            np.add.at(out, of, self.sums(np.concatenate(held)))
+        return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -203,11 +233,11 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_doc: int = PER_DOC) -> Network | None:
     """A network from a sample of docs (doc_id, text, lang) outside the held-out fold; None without labelled text.
 
     Each language gets an equal share of the sample: the documents that a hash of doc_id and text puts first, and of each
-    at most PER_DOC pieces of words, which tasks choose. The sample depends on the rows alone, not on how they are dealt.
+    at most per_doc stretches of SPAN bytes, which tasks choose. The sample depends on the rows alone, not on how they are dealt.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -223,22 +253,18 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
         for b in batches:
             held = []
             for draw, t in zip(b.column(1).to_pylist(), b.column(2)):
-                found = [p for w in _WORD.findall(t.as_py().lower()) for p in pieces(w)]
-                at = np.random.default_rng(draw).permutation(len(found))[:PER_DOC]
-                held.append([found[i] for i in sorted(at)])
+                codes = raw(t.as_py())
+                padded = np.concatenate([codes, np.full(max(0, SPAN - len(codes)), 32, np.uint8)])
+                starts = np.random.default_rng(draw).integers(0, len(padded) - SPAN + 1, per_doc) if len(codes) else []
+                held.append([padded[i : i + SPAN].tobytes() for i in starts])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.binary()))], ["lang", "draw", "pieces"])
 
     some = drawn.mapInArrow(trimmed(cut), "lang string, draw long, pieces array<binary>").dropDuplicates()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "pieces"))
     some = some.withColumn("at", first).filter(F.col("at") <= per).orderBy("lang", "at").collect()
-    rng, words, labels = np.random.default_rng(5), [], []
-    for k, lang in enumerate(langs):
-        found = [bytes(p) for r in some if r.lang == lang for p in r.pieces]
-        for i in rng.permutation(len(found))[: sample_words // len(langs)]:
-            words.append(found[i])
-            labels.append(k)
+    spans = [(p, langs.index(r.lang)) for r in some for p in r.pieces]
     net = Network(langs)
-    net.train(words, np.array(labels, np.int64))
+    net.train(np.frombuffer(b"".join(bytes(p) for p, _ in spans), np.uint8).reshape(-1, SPAN), np.array([k for _, k in spans], np.int64))
     return net
 
 

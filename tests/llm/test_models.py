@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,10 +118,26 @@ def test_language_accuracy_and_edges(spark):
     assert langid.identify(d.limit(0)).count() == 0 and langid.identify(d.filter("lang is null")).filter("lang_pred != 'und'").count() == 0
 
 
-def test_words_have_the_same_sums_alone_and_together():
+def test_pooling_equals_a_loop_over_whole_texts():
+    """Chunks with bytes around them against both networks over each text's bytes from end to end."""
+    net = langid.Network(["a", "b", "c"], seed=3)
+    rng = random.Random(2)
+    texts = ["", None, "123 !?", "a", "Zwölf Boxkämpfer jagen Viktor quer über den Sylter Deich. " * 40, "x" * 256, "ñ" * 200, *["".join(rng.choices("abc de,.\n1é", k=n)) for n in (5, 255, 256, 257, 1000, 3000)]]
+    got = langid.Labeller(net)(pa.array(texts, pa.string()))
+    for t, row in zip(texts, got):
+        codes = langid.raw(t)
+        want = np.zeros(3)
+        if len(codes):
+            space = np.full(langid.WARM, 32, np.uint8)
+            p = net.positions(np.concatenate([space, codes, space])[:, None])[langid.WARM : -langid.WARM, 0]
+            want = p[langid._LETTER[codes]].mean(0)
+        assert np.allclose(row, want, atol=2e-3), t
+    assert np.allclose(langid.Labeller(net)(pa.array(texts[::-1] + ["other " * 999], pa.string()))[:-1][::-1], got, atol=1e-6)
+
+
+def test_very_long_text_is_read_by_parts(monkeypatch):
     net = langid.Network(["a", "b"])
-    read = langid.Labeller(net)
-    w = ["abc", "abd", "x" * 60, "ßü"]
-    alone = np.concatenate([langid.Labeller(net).sums([x]) for x in w])
-    assert np.allclose(read.sums(w + w), np.concatenate([alone, alone]), atol=1e-5)
-    assert re.fullmatch("[a-z ß-ü]+", b"".join(langid.pieces("aßü²b")).decode())
+    text = pa.array(["one two three. " * 2000], pa.string())
+    whole = langid.Labeller(net)(text)
+    monkeypatch.setattr(langid, "LANES", 5)
+    assert np.allclose(langid.Labeller(net)(text), whole, atol=1e-6)
