@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.plans.registry import query, table
 from factloom.sources.database import Table, written
 from factloom.sources.database import scratch as _folder
-from factloom.streaming import ingest, settle
+from factloom.streaming import costs, ingest, settle
 
 
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id")
@@ -101,3 +101,19 @@ def settled_files(spark: SparkSession, d: str) -> DataFrame:
     out = _folder(spark, "settled")
     settle.append_available(settle.settled_stream(seen, 43_200), out, _folder(spark, "checkpoint"))
     return spark.read.schema(settle.SETTLED).parquet(out).select("path", "length", F.col("since").cast("timestamp_ntz").alias("since"))
+
+
+@query("""with c as (select doc_id, unnest(range(1, greatest(1, (n_chars + 1999) // 2000) + 1)) as chunk, coalesce(text, '') as text from documents),
+p as (select doc_id, chunk, substr(text, (chunk - 1) * 2000 + 1, 2000) as part from c)
+select doc_id, chunk, case when contains(part, '|') then 'error: ValueError: a table' else 'ok' end as status, case when not contains(part, '|') then length(part)::varchar end as result from p""")
+def chunk_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all texts, each with how its work ended; one that fails doesn't stop the others."""
+    docs = table(spark, d, "documents").selectExpr("doc_id", "coalesce(text, '') as text", "explode(sequence(1, cast(greatest(1, (n_chars + 1999) div 2000) as int))) as chunk")
+    parts = docs.selectExpr("doc_id", "chunk", "substring(text, (chunk - 1) * 2000 + 1, 2000) as part")
+
+    def work(row: dict) -> str:
+        if "|" in row["part"]:
+            raise ValueError("a table")
+        return str(len(row["part"]))
+
+    return costs.costed(parts, "chunk", work).select("doc_id", "chunk", "status", "result")
