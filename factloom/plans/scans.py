@@ -30,8 +30,8 @@ def continued_tables(spark: SparkSession, d: str) -> DataFrame:
     return scans.continued_tables(pages)
 
 
-_TABLES = """select l_suppkey % 53 as doc, l_orderkey * 8 + l_linenumber as seq, cast(l_quantity % 3 + 2 as int) as columns, case when l_partkey % 4 = 0 then cast(l_partkey % 3 as int) end as address,
-  l_returnflag <> 'N' as mnemonic from lineitem"""
+_LINES = "select l_suppkey % 53 as doc, l_orderkey * 8 + l_linenumber as seq, min(l_partkey) as p, min(l_quantity) as q, min(l_returnflag) as f from lineitem group by 1, 2"
+_TABLES = f"""select doc, seq, cast(q % 3 + 2 as int) as columns, case when p % 4 = 0 then cast(p % 3 as int) end as address, f <> 'N' as mnemonic from ({_LINES}) as l"""
 
 
 @query(f"""with t as ({_TABLES}), b as (select *, last_value(case when address is not null then {{'c': columns, 'a': address}} end ignore nulls) over (partition by doc order by seq rows between unbounded preceding and 1 preceding) as b from t)
