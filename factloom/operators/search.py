@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,10 +52,34 @@ def split_pages(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
     return rows.select(*keep, F.col("p.n").cast("int").alias("page"), F.regexp_replace(F.regexp_replace("p.t", "^\\s+", ""), "\\s+$", "").alias("text"))
 
 
+@functools.cache
+def _folds() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, with that letter for each; and marks, which stand for nothing.
+
+    The rule is Unicode's canonical decomposition; it needs no list. Syllables of scripts that compose by other means
+    than marks stay as they are.
+    """
+    whole, plain, marks = [], [], []
+    for code in range(0xA0, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and d[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in d[1:]):
+            whole.append(c)
+            plain.append(d[0])
+    return "".join(whole + marks), "".join(plain)
+
+
+def folded(text: Column) -> Column:
+    """text in lower case without marks: letters with accents as their base letters, however they are encoded."""
+    return F.translate(F.lower(text), *_folds())
+
+
 def tokens(text: Column) -> Column:
-    """Case-folded runs of letters and digits; common accents are dropped."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüý", "aaaaaaceeeeiiiinooooouuuuy")
-    return F.regexp_extract_all(plain, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """Case-folded runs of letters and digits, without marks."""
+    return F.regexp_extract_all(folded(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
 def postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import dedup, search
+from factloom.operators import containment, dedup, search
 from factloom.plans.registry import query, table
 from factloom.sources.database import written
 
 _LINES = "with l as (select doc_id, string_split(text, chr(10)) as a from documents), u as (select doc_id, a, unnest(range(len(a))) as i from l)"
-_TOK = r"regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüý', 'aaaaaaceeeeiiiinooooouuuuy'), '[\p{L}\p{N}]+')"
+_TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
 
 @query(_LINES + """
@@ -177,32 +177,8 @@ def token_disagreement(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""with b as (select item_id, left(regexp_replace(lower(text), '\s+', ' ', 'g'), 40) as head from benchmark), t as (select doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') as p from documents)
 select item_id, count(*) as n_docs, min(doc_id) as first_doc from b join t on contains(p, head) group by item_id""")
 def contamination_find(spark: SparkSession, d: str) -> DataFrame:
-    """Items meet documents by a key of their head: its whole words but the first, three at most.
-
-    A head whose first or last word may go on in a document has its inner words to offer; where it has none, its key is
-    empty, and it is looked for in every text by all such heads in one pattern of alternatives. Only keys are joined.
-    """
-    plain = F.regexp_replace(F.lower("text"), "\\s+", " ")
-    bench = table(spark, d, "benchmark").select("item_id", F.substring(plain, 1, 40).alias("head")).filter("head is not null")
-    # words between two spaces of the head are whole wherever it stands
-    inner = F.slice(F.split("head", " "), F.lit(2), F.greatest(F.size(F.split("head", " ")) - 2, F.lit(0)))
-    bench = bench.withColumn("n", F.least(F.size(inner), F.lit(3))).withColumn("key", F.array_join(F.slice(inner, F.lit(1), F.col("n")), " "))
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", plain.alias("p"))
-    split = docs.select("doc_id", F.split("p", " ").alias("w"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
-    lengths = [r[0] for r in bench.filter("n > 0").select("n").distinct().collect()]
-    found = []
-    for n in lengths:
-        keys = split.select("doc_id", F.explode(F.array_distinct(grams(n))).alias("key"))
-        found.append(keys.join(bench.filter(F.col("n") == n).select("item_id", "head", "key"), "key").select("doc_id", "item_id", "head").distinct())
-    # texts are read again for the pairs that met
-    pairs = reduce(DataFrame.unionByName, found) if found else None
-    hits = pairs.join(docs, "doc_id").filter(F.col("p").contains(F.col("head"))).select("item_id", "doc_id") if pairs is not None else None
-    short = bench.filter("n = 0").select("item_id", "head")
-    if short.take(1):
-        heads = short.agg(F.collect_set("head").alias("heads"))
-        loose = docs.join(F.broadcast(heads)).select("doc_id", F.explode(F.filter("heads", lambda h: F.col("p").contains(h))).alias("head")).join(short, "head").select("item_id", "doc_id")
-        hits = loose if hits is None else hits.unionByName(loose)
-    if hits is None:
-        hits = bench.join(docs).select("item_id", "doc_id").limit(0)
+    """Benchmark items whose first 40 characters stand in documents."""
+    heads = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.substring(containment.squeezed(F.col("text")), 1, 40).alias("head"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    hits = containment.passages_found(docs, heads).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
