@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import containment, dedup, search
+from factloom.operators import containment, dedup, ranked, search
 from factloom.plans.registry import query, table
 from factloom.sources.database import written
 
@@ -103,6 +103,15 @@ def fts_rank(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(_index(spark, d), "doc_id", ["license", "token"]).withColumn("rank", F.round("rank", 6))
 
 
+@query(f"""with t as (select doc_id, {_TOK} as w from documents), f as (select doc_id, len(w) as n, len(list_filter(w, lambda x: x = 'license')) as a, len(list_filter(w, lambda x: x = 'token')) as b from t),
+s as (select count(*) as n, avg(n) as mean, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from f)
+select doc_id, round(r, 6) as rank from (select doc_id, ln(1 + (s.n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * f.n / mean)) + ln(1 + (s.n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * f.n / mean)) as r from f, s) where r > 0 order by r desc, doc_id limit 10""")
+def fts_top_ten(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents, by blocks whose bound reaches them."""
+    index = ranked.RankedIndex.build(table(spark, d, "documents"), "doc_id")
+    return index.top(["license", "token"], 10).withColumn("rank", F.round("rank", 6))
+
+
 @query()
 def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", search.snippet(F.col("text"), "license").alias("snippet")).filter("snippet is not null")

@@ -11,3 +11,23 @@ def test_tokens_lose_marks(spark):
     assert got == [
         ["cafe", "cafe", "cafe"], ["angstrom", "istanbul", "łodz", "naive"], ["v", "in", "3", "3v", "a", "b"], ["eko", "viet", "nam"], ["straße", "ﬁ", "ω"], ["ελληνικα", "α"], ["가나", "n"], [], None,
     ]
+
+
+def test_the_best_equal_the_full_ranking_with_fewer_postings_read(spark):
+    import random
+
+    from factloom.operators import ranked
+
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(rnd.choices(words, weights=[1 / (k + 1) for k in range(60)], k=rnd.randrange(3, 200)))) for i in range(3000)] + [(9000, None), (9001, "")]
+    docs = spark.createDataFrame(texts, "doc int, text string")
+    index = ranked.RankedIndex.build(docs, "doc")
+    full = search.bm25(search.postings(docs, "doc"), "doc", ["w40", "w7"])
+    want = [(r.doc, round(r["rank"], 9)) for r in full.orderBy(F.desc("rank"), "doc").limit(10).collect()]
+    assert [(r.doc, round(r["rank"], 9)) for r in index.top(["w40", "w7"], 10).collect()] == want
+    every = sum((t or "").split().count(w) > 0 for _, t in texts for w in ("w40", "w7"))
+    assert 0 < index.read < every * 0.8, (index.read, every)
+    assert index.top(["nowhere"], 10).count() == 0 and index.read == 0
+    # all of them, where as many are wanted
+    assert index.top(["w40"], 10_000).count() == sum("w40" in (t or "").split() for _, t in texts)
