@@ -30,5 +30,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _name in ("mining", "evidence", "matching", "quality", "tables", "scalars", "sqlview", "streams", "filing", "records", "classification", "readers", "trees", "claims", "variants", "migration", "snapshots", "exports", "scans"):
+for _name in ("mining", "evidence", "matching", "quality", "tables", "scalars", "sqlview", "streams", "filing", "records", "classification", "readers", "trees", "claims", "variants", "migration", "snapshots", "exports", "scans", "generic_reader"):
     importlib.import_module(f"factloom.plans.{_name}")
