@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from factloom.operators import search
 from factloom.plans import registry
 
 HEADLINE = (
@@ -25,6 +26,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     took = {}
+    # the index that the fts queries read is built once, and timed by itself
+    began = time.time()
+    search.stored_index(spark, f"{folder}/documents.parquet", "doc_id")
+    took["fts_index_build"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Prefixes up to which they are literals of the plan.
+FEW_PREFIXES = 1_000
+
 
 def richest_match(docs: DataFrame, keys: str, key: str, exports: DataFrame) -> DataFrame:
     """Each doc with the richest export (match, rich, pos) among its candidate keys; ties by key order, then position.
@@ -21,11 +24,20 @@ def richest_match(docs: DataFrame, keys: str, key: str, exports: DataFrame) -> D
 
 
 def longest_prefix(df: DataFrame, name: str, key: str, prefixes: DataFrame) -> DataFrame:
-    """(key, owner) of the longest prefix (prefix, owner): an equi-join on every beginning of name that is no longer than
-    the longest prefix."""
+    """(key, owner) of the longest prefix (prefix, owner). Up to FEW_PREFIXES prefixes are looked up within the row; more
+    meet every beginning of name that is no longer than the longest prefix by an equi-join."""
+    few = prefixes.filter("prefix is not null").limit(FEW_PREFIXES + 1).collect()
+    rows = df.filter(F.col(name).isNotNull())
+    if len(few) <= FEW_PREFIXES:
+        if not few:
+            return rows.select(key, F.lit(None).cast("string").alias("owner")).limit(0)
+        listed = F.array(*[F.struct(F.lit(len(r.prefix)).alias("n"), F.lit(r.prefix).alias("prefix"), F.lit(r.owner).alias("owner")) for r in few])
+        own = F.array_max(F.filter(listed, lambda p: F.col(name).startswith(p["prefix"])))
+        best = rows.select(key, own.alias("_p")).filter("_p is not null").groupBy(key).agg(F.max("_p").alias("_p"))
+        return best.select(key, F.col("_p.owner").alias("owner"))
     most = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
     cut = F.transform(F.sequence(F.lit(0), F.least(F.length(name), F.lit(most))), lambda n: F.substring(F.col(name), F.lit(1), n))
-    found = df.filter(F.col(name).isNotNull()).select(key, F.explode(cut).alias("prefix")).distinct().join(prefixes, "prefix")
+    found = rows.select(key, F.explode(cut).alias("prefix")).distinct().join(prefixes, "prefix")
     return found.groupBy(key).agg(F.max_by("owner", F.length("prefix")).alias("owner"))
 
 

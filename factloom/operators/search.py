@@ -18,9 +18,16 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _having(df: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Rows that may have a matching line, by one look at the whole text. Patterns that look around themselves, or at a
+    text's ends, may match a line and not the text; they have all rows."""
+    around = ("(?!", "(?=", "(?<", "\\A", "\\z", "\\Z", "\\G")
+    return df if any(x in pattern for x in around) else df.filter(F.col(text).rlike(f"(?m){pattern}"))
+
+
 def find(df: DataFrame, pattern: str, keep: list[str], context: int = 1, text: str = "text") -> DataFrame:
     """Every line that matches, with its number from 1 and the lines around it. No shuffle: a document is one row."""
-    rows = df.select(*keep, lines_of(F.col(text)).alias("_lines"))
+    rows = _having(df, text, pattern).select(*keep, lines_of(F.col(text)).alias("_lines"))
     hits = F.filter(F.transform("_lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda h: h.line.rlike(pattern))
     rows = rows.withColumn("_hit", F.explode(hits))
     at = F.col("_hit.at")
@@ -33,7 +40,7 @@ def find(df: DataFrame, pattern: str, keep: list[str], context: int = 1, text: s
 
 def look_back(df: DataFrame, pattern: str, name: str, keep: list[str], frame: int = 5, text: str = "text") -> DataFrame:
     """For each matching line the nearest of the `frame` lines above it that starts with `name`; blank lines count."""
-    rows = df.select(*keep, lines_of(F.col(text)).alias("_lines"))
+    rows = _having(df, text, pattern).select(*keep, lines_of(F.col(text)).alias("_lines"))
     hits = F.filter(F.transform("_lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda h: h.line.rlike(pattern))
     rows = rows.withColumn("_hit", F.explode(hits))
     at = F.col("_hit.at")

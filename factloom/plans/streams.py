@@ -73,13 +73,13 @@ def ingest_rounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with o as (select ps.l_suppkey as doc, (['export', 'prose', 'roc'])[l_linenumber % 3 + 1] as source, l_quantity as value from lineitem ps where l_orderkey % 10 < 5)
-select doc, source, value, count(*) as n from (select * from o where source <> 'export' union all select l_suppkey, 'export', l_quantity from lineitem where l_orderkey % 10 >= 8) group by all""")
+select doc, source, value, count(*) as n from (select * from o where source <> 'export' union all select l_suppkey, 'export', l_quantity from lineitem where l_orderkey % 10 >= 5) group by all""")
 def enrichment_repeated(spark: SparkSession, d: str) -> DataFrame:
     """An export that is read a second time takes the place of its earlier readings."""
     rows = table(spark, d, "lineitem")
     sources = F.array(F.lit("export"), F.lit("prose"), F.lit("roc"))
     old = rows.filter("l_orderkey % 10 < 5").select(F.col("l_suppkey").alias("doc"), F.element_at(sources, F.col("l_linenumber") % 3 + 1).alias("source"), F.col("l_quantity").alias("value"))
-    new = rows.filter("l_orderkey % 10 >= 8").select(F.col("l_suppkey").alias("doc"), F.lit("export").alias("source"), F.col("l_quantity").alias("value"))
+    new = rows.filter("l_orderkey % 10 >= 5").select(F.col("l_suppkey").alias("doc"), F.lit("export").alias("source"), F.col("l_quantity").alias("value"))
     once = ingest.replaced_by_source(old, new, "source")
     return ingest.replaced_by_source(once, new, "source").groupBy("doc", "source", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -30,3 +30,12 @@ def test_prefixes_of_many_lengths(spark):
 def test_an_absent_reading_gives_nothing(spark):
     rows = spark.createDataFrame([(1, "V", None, None)], "seq int, symbol string, parameter string, section string").selectExpr("seq", "symbol", "parameter", "'x' as section", "'1' as min", "null as typ", "null as max", "'V' as unit", "1 as page", "1 as doc")
     assert records.section_range(rows, ["doc"], "V", "nothing", "recommended").count() == 0
+
+
+def test_many_prefixes_meet_by_a_join(spark, monkeypatch):
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["Brand#12", "Brand#1", "Brand", "Bra", "", None, "Brand#25x"])], "k int, name string")
+    prefixes = spark.createDataFrame([("Brand#1", "a"), ("Brand#12", "b"), ("Brand", "c"), ("Brand#25", "d")], "prefix string, owner string")
+    few = {r.k: r.owner for r in matching.longest_prefix(names, "name", "k", prefixes).collect()}
+    monkeypatch.setattr(matching, "FEW_PREFIXES", 1)
+    assert few == {r.k: r.owner for r in matching.longest_prefix(names, "name", "k", prefixes).collect()} == {0: "b", 1: "a", 2: "c", 6: "d"}
+    assert matching.longest_prefix(names, "name", "k", prefixes.limit(0)).count() == 0
