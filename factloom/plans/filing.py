@@ -86,12 +86,12 @@ def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     return filing.chunks(docs, "doc_id", "n", 20, docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("first")))
 
 
-@query("""with x as (select l_orderkey, l_linenumber as pos, max(l_quantity) as a, max(l_discount) as b, max(l_tax) as c from lineitem group by all), left_over as (select * from x where not exists (select 1 from x y where y.l_orderkey = x.l_orderkey and y.a = x.a and y.c = x.b and y.b = x.c)), p as (select x.l_orderkey, x.pos, y.pos as other, list_sort([x.a, x.b, x.c]) = list_sort([y.a, y.c, y.b]) as shift from left_over x join x y using (l_orderkey) where x.pos <= 2),
+@query("""with x as (select l_orderkey, l_linenumber as pos, max(l_quantity) as a, max(l_discount) as b, max(l_tax) as c from lineitem group by all), left_over as (select * from x where not exists (select 1 from x y where y.l_orderkey = x.l_orderkey and y.a = x.a and y.c = x.b and y.b = x.c)), p as (select x.l_orderkey, x.pos, y.pos as other, list_sort([x.a, x.b, x.c]) = list_sort([y.a, y.c, y.b]) as shift from left_over x join x y using (l_orderkey)),
 r as (select *, row_number() over (partition by l_orderkey, pos order by not shift, other) as rn from p) select l_orderkey, pos, other, case when shift then 'column_shift' else 'readers_disagree' end as flag from r where rn = 1""")
 def nearest_twin(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("pos")).agg(F.max("l_quantity").alias("min"), F.max("l_discount").alias("typ"), F.max("l_tax").alias("max"))
     y = x.select("l_orderkey", "pos", "min", F.col("max").alias("typ"), F.col("typ").alias("max"))
-    return filing.nearest_twin(x.filter("pos <= 2"), y, ["l_orderkey"])
+    return filing.nearest_twin(x, y, ["l_orderkey"])
 
 
 @query(r"""with t as (select page_id, regexp_extract_all(html, '<(h1|b)>([^<]*)', 2) as h from pages), u as (select page_id, unnest(range(len(h))) as i, unnest(h) as title from t), k as (select page_id, i, title from u where len(string_split(trim(title), ' ')) <= 12)
@@ -111,7 +111,7 @@ def index_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as x from documents)
-select doc_id, i + 1 as line_no, regexp_extract(x, '^([A-Z][a-z]+)[ ,]', 1) as chapter from l where i < 40 and regexp_matches(x, '^([A-Z][a-z]+)[ ,]') and length(x) < 200""")
+select doc_id, i + 1 as line_no, regexp_extract(x, '^([A-Z][a-z]+)[ ,]', 1) as chapter from l where regexp_matches(x, '^([A-Z][a-z]+)[ ,]') and length(x) < 200""")
 def contents_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 40)).alias("i", "x"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
     return lines.filter(F.col("x").rlike("^([A-Z][a-z]+)[ ,]") & (F.length("x") < 200)).select("doc_id", (F.col("i") + 1).alias("line_no"), F.regexp_extract("x", "^([A-Z][a-z]+)[ ,]", 1).alias("chapter"))
