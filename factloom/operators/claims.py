@@ -9,6 +9,7 @@ are read from the few characters that matched. All hits are kept; the first by f
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -126,21 +127,32 @@ def _value(found: Column, rule: Rule, k: int) -> Column:
     return -value if rule.minus and not k else value
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use has it: as the variable of a lambda, which no rule of the
+    optimizer copies into its places."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hits(parts: DataFrame, rules: tuple[Rule, ...], text: str = "fragment") -> DataFrame:
     """parts with rule, key, value for everything that a rule reads from text; its other columns stay."""
     words = sorted({w for r in rules for w in r.words})
-    low, bits = F.lower(text), {w: 1 << i for i, w in enumerate(words)}
-    mask = functools.reduce(lambda a, b: a.bitwiseOR(b), [F.when(low.contains(w), F.lit(b)).otherwise(F.lit(0)) for w, b in bits.items()])
-    held = parts.filter(states_something(F.col(text))).withColumn("_mask", mask).filter("_mask != 0")
+    bits = {w: 1 << i for i, w in enumerate(words)}
     wanted = [sum(bits[w] for w in r.words) for r in rules]
-    found = [F.when(F.col("_mask").bitwiseAND(F.lit(m)) != 0, F.regexp_extract(text, f"(?i){r.pattern}", 0)).otherwise("") for r, m in zip(rules, wanted)]
-    held = held.withColumn("_found", F.array(*found)).filter(F.exists("_found", lambda x: x != ""))
-    made = [
-        F.when(F.col("_found")[i] != "", F.struct(F.lit(i).alias("rule"), F.lit(k).alias("part"), F.lit(key).alias("key"), _value(F.col("_found")[i], r, k).alias("value")))
-        for i, r in enumerate(rules) for k, key in enumerate(r.keys)
-    ]
-    kept = [c for c in held.columns if c not in ("_mask", "_found")]
-    return held.select(*kept, F.inline(F.filter(F.array(*made), lambda x: x.isNotNull() & x["value"].isNotNull())))
+    mask = lambda low: functools.reduce(lambda a, b: a.bitwiseOR(b), [F.when(low.contains(w), F.lit(b)).otherwise(F.lit(0)) for w, b in bits.items()])
+
+    def found(t: Column, held: Column) -> Column:
+        return F.array(*[F.when(held.bitwiseAND(F.lit(m)) != 0, F.regexp_extract(t, f"(?i){r.pattern}", 0)).otherwise("") for r, m in zip(rules, wanted)])
+
+    def made(f: Column) -> Column:
+        each = [
+            F.when(f[i] != "", F.struct(F.lit(i).alias("rule"), F.lit(k).alias("part"), F.lit(key).alias("key"), _value(f[i], r, k).alias("value")))
+            for i, r in enumerate(rules) for k, key in enumerate(r.keys)
+        ]
+        return F.filter(F.array(*each), lambda x: x.isNotNull() & x["value"].isNotNull())
+
+    read = _once(F.col(text), lambda t: F.when(states_something(t), _once(_once(F.lower(t), mask), lambda held: _once(found(t, held), made))))
+    # outer: an inner one would have the whole expression a second time, in a filter of its own
+    return parts.select(*parts.columns, F.inline_outer(read)).filter("rule is not null")
 
 
 def first_of_each(found: DataFrame, by: list[str], text: str = "fragment") -> DataFrame:

@@ -29,12 +29,12 @@ def _keyed(heads: DataFrame) -> DataFrame:
     return heads.select("item", "head", n.alias("n"), F.array_join(F.slice(inner, F.lit(1), n), " ").alias("key"))
 
 
-def _looked_up(keys: list[str], n: int) -> Column:
-    """Keys of n words that the words w of a text have: places of a key's first word first, then the whole key there."""
+def _looked_up(words: Column, keys: list[str], n: int) -> Column:
+    """Keys of n words that a text's words have: places of a key's first word first, then the whole key there."""
     first = sorted({k.split(" ")[0] for k in keys})
-    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(first))
-    groups = F.transform(at, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")) if n > 1 else F.transform(at, lambda i: F.element_at("w", i))
-    return F.array_distinct(F.filter(groups, lambda g: g.isin(keys)))
+    at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(first), i + 1)), lambda i: i.isNotNull())
+    groups = F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.filter(groups, lambda g: g.isin(keys))
 
 
 def _joined_up(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
@@ -54,13 +54,19 @@ def passages_found(docs: DataFrame, heads: DataFrame) -> DataFrame:
         by_n: dict[int, list[str]] = {}
         for r in few:
             by_n.setdefault(r.n, []).append(r.key if r.n else r.head)
-        candidates = [_looked_up(sorted(set(k)), n) for n, k in sorted(by_n.items()) if n]
-        if by_n.get(0):
-            loose = F.array(*[F.lit(h) for h in sorted(set(by_n[0]))])
-            candidates.append(F.filter(loose, lambda h: F.contains(F.col("p"), h)))
-        if not candidates:
+        keys = {n: sorted(set(k)) for n, k in by_n.items()}
+        if not keys:
             return plain.select(F.lit(None).cast(heads.schema["item"].dataType).alias("item"), "doc").limit(0)
-        met = split.withColumn("met", F.concat(*candidates)).filter(F.size("met") > 0).select("doc", "p", F.explode("met").alias("met"))
+
+        def candidates(words: Column) -> Column:
+            """words is a lambda's variable, so that a text is split once."""
+            found = [_looked_up(words, k, n) for n, k in sorted(keys.items()) if n]
+            if 0 in keys:
+                found.append(F.filter(F.array(*[F.lit(h) for h in keys[0]]), lambda h: F.contains(F.col("p"), h)))
+            return F.array_distinct(F.concat(*found))
+
+        # outer: an inner one would have the whole expression a second time, in a filter of its own
+        met = plain.select("doc", "p", F.explode_outer(F.element_at(F.transform(F.array(F.split("p", " ")), candidates), 1)).alias("met")).filter("met is not null")
         # at most FEW rows
         named = keyed.select("item", "head", F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("head")).alias("met"))
         return met.join(F.broadcast(named), "met").filter(F.contains(F.col("p"), F.col("head"))).select("item", "doc").distinct()
