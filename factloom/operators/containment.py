@@ -46,7 +46,10 @@ def _joined_up(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
 def passages_found(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """item, doc of every passage (item, head) that stands in a text (doc, text), both squeezed; nulls and
     empty passages stand nowhere."""
-    plain = docs.filter("text is not null").select("doc", squeezed(F.col("text")).alias("p"))
+    # a table of few files is dealt to all cores, as each word is looked at
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    dealt = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    plain = dealt.filter("text is not null").select("doc", squeezed(F.col("text")).alias("p"))
     split = plain.withColumn("w", F.split("p", " "))
     keyed = _keyed(heads.filter("head != ''"))
     few = keyed.limit(FEW + 1).collect()
