@@ -9,12 +9,13 @@ are read from the few characters that matched. All hits are kept; the first by f
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import scalars
+
 _NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 _GAP = r"\s?[-–]?\s?"
 #: Factors to the unit of a key by the unit that a pattern found (fixed values).
@@ -127,12 +128,6 @@ def _value(found: Column, rule: Rule, k: int) -> Column:
     return -value if rule.minus and not k else value
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, however often use has it: as the variable of a lambda, which no rule of the
-    optimizer copies into its places."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def hits(parts: DataFrame, rules: tuple[Rule, ...], text: str = "fragment") -> DataFrame:
     """parts with rule, key, value for everything that a rule reads from text; its other columns stay."""
     words = sorted({w for r in rules for w in r.words})
@@ -150,7 +145,7 @@ def hits(parts: DataFrame, rules: tuple[Rule, ...], text: str = "fragment") -> D
         ]
         return F.filter(F.array(*each), lambda x: x.isNotNull() & x["value"].isNotNull())
 
-    read = _once(F.col(text), lambda t: F.when(states_something(t), _once(_once(F.lower(t), mask), lambda held: _once(found(t, held), made))))
+    read = scalars.once(F.col(text), lambda t: F.when(states_something(t), scalars.once(scalars.once(F.lower(t), mask), lambda held: scalars.once(found(t, held), made))))
     # outer: an inner one would have the whole expression a second time, in a filter of its own
     return parts.select(*parts.columns, F.inline_outer(read)).filter("rule is not null")
 

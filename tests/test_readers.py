@@ -43,3 +43,11 @@ def test_packages_and_maps(spark):
     said = ["8.6 Register Maps", "x\n Table 3-2.Register list", "Table 3. Values", "table x. register", "REGISTER SET SUMMARY", None, "registers"]
     got = spark.createDataFrame([(t,) for t in said], "t string").select(readers.register_map_named(F.col("t")).alias("x")).collect()
     assert [r.x for r in got] == [True, True, False, False, True, False, False]
+
+
+def test_author_lines_compute_their_words_once(spark):
+    df = registry.QUERIES["author_lines"](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the marks are taken out of each text once; each use of a name used to do it anew
+    assert plan.count(readers.MARKS) == 1
+    assert len(df.collect()) == len({r.p_partkey for r in df.collect()})
