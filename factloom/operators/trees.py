@@ -22,6 +22,9 @@ def paths(nodes: DataFrame, tree: list[str], node: str = "node", parent: str = "
     """nodes with path (array of places from the root). A null parent, or one that isn't there, makes a root.
 
     Every node has one parent and one row. A cycle raises: it has no root, whatever the number of rounds.
+
+    Places and ids pack so well that a table of all nodes can lie in less than a broadcast's limit of files and still be
+    hundreds of MB as rows, so its joins are merges.
     """
     at = [F.col(c).alias(f"_t{i}") for i, c in enumerate(tree)]
     keys = [f"_t{i}" for i in range(len(tree))]
@@ -31,13 +34,13 @@ def paths(nodes: DataFrame, tree: list[str], node: str = "node", parent: str = "
         if not state.filter("_top is not null").take(1):
             break
         up = state.select(*keys, F.col("_node").alias("_at"), F.col("_top").alias("_next"), F.col("path").alias("_above"))
-        met = state.join(up.withColumnRenamed("_at", "_top"), [*keys, "_top"], "left")
+        met = state.join(up.withColumnRenamed("_at", "_top").hint("merge"), [*keys, "_top"], "left")
         state = written(met.select(*keys, "_node", F.col("_next").alias("_top"), F.concat(F.coalesce("_above", F.array().cast("array<int>")), "path").alias("path")), "paths")
     else:
         if state.filter("_top is not null").take(1):
             raise ValueError("nodes are their own ancestors")
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(tree, keys)]
-    return nodes.join(state.drop("_top"), [*same, F.col(node) == F.col("_node")]).drop(*keys, "_node")
+    return nodes.join(state.drop("_top").hint("merge"), [*same, F.col(node) == F.col("_node")]).drop(*keys, "_node")
 
 
 def in_sections(items: DataFrame, tree: list[str], head: Column, text: str = "text", order: str = "path") -> DataFrame:

@@ -27,7 +27,7 @@ def tree_order(spark: SparkSession, d: str) -> DataFrame:
     nodes = html_nodes(table(spark, d, "pages"), "page_id")
     placed = trees.paths(nodes, ["page_id"])
     kinds = nodes.select("page_id", F.col("node").alias("parent"), F.col("kind").alias("within"))
-    texts = placed.filter("kind = '#text'").join(kinds, ["page_id", "parent"], "left")
+    texts = placed.filter("kind = '#text'").join(kinds.hint("merge"), ["page_id", "parent"], "left")
     items = trees.in_sections(texts, ["page_id"], F.coalesce(F.col("within").rlike("^(title|h[1-6])$"), F.lit(False)))
     seq = F.row_number().over(Window.partitionBy("page_id").orderBy("path"))
     return items.select("page_id", seq.alias("seq"), F.md5("text").alias("text"), "section")

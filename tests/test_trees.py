@@ -73,3 +73,10 @@ def test_layout_chunks(spark, tmp_path):
     assert [(r.kind, r.text or r.grid[0][0].text, r.section, r.page) for r in got] == [
         ("text", " One ", "One", 1), ("text", "zero", "One", 1), ("text", "Two", "Two", 1), ("table", "b", "Two", None), ("table", "a", "zero", 4), ("table", "b", "", None),
     ]
+
+
+def test_paths_broadcast_no_nodes(spark):
+    rows = [(t, n, n - 1 if n else None, 0) for t in range(3) for n in range(40)]
+    placed = trees.paths(spark.createDataFrame(rows, "tree int, node int, parent int, place int"), ["tree"])
+    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert placed.count() == len(rows)
