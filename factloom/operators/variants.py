@@ -26,14 +26,21 @@ def identity(symbol: Column, parameter: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
-def witnessed(text: Column) -> Column:
-    """Whether every value of a row is a whole number of the page's text; a row without values isn't."""
-    values = F.filter(F.array(*[shown(F.col(v)) for v in VALUES]), lambda v: v.isNotNull())
+def numbers_read(text: Column) -> Column:
+    """What values can be read in a page's text, each once: its digits with points and a sign, cut where a number can't go
+    on, and their beginnings before a point; 3.3 is read in 3.3.1 and not in 13.3 or 3.31."""
     plain = F.coalesce(text, F.lit(""))
-    # digits with points and a sign, cut where a number can't go on; 3.3 is read in 3.3.1 and not in 13.3 or 3.31
-    found = F.concat(*[F.regexp_extract_all(plain, F.lit(f"(?:^|[^0-9.])({sign}[0-9]+(?:[.][0-9]+)*)"), F.lit(1)) for sign in ("", "-")])
-    begins = lambda v: F.exists(found, lambda x: (x == v) | x.startswith(F.concat(v, F.lit("."))))
-    return (F.size(values) > 0) & F.forall(values, begins)
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(plain, F.lit(f"(?:^|[^0-9.])({sign}[0-9]+(?:[.][0-9]+)*)"), F.lit(1)) for sign in ("", "-")]))
+    begins = lambda parts: F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "."))
+    return F.array_distinct(F.flatten(F.transform(F.transform(found, lambda x: F.split(x, "[.]")), begins)))
+
+
+def witnessed(read: Column) -> Column:
+    """Whether every value of a row is among the numbers_read of its page; a row without values isn't."""
+    seen = F.coalesce(*[F.col(v) for v in VALUES]).isNotNull()
+    for v in VALUES:
+        seen = seen & (F.col(v).isNull() | F.coalesce(F.array_contains(read, shown(F.col(v))), F.lit(False)))
+    return seen
 
 
 def entries(base: DataFrame, variant: DataFrame) -> DataFrame:
@@ -94,8 +101,9 @@ def report(base: DataFrame, variant: DataFrame, pages: DataFrame) -> DataFrame:
     at = aligned(base, variant)
     # rows of one page and values share their fate as a whole
     keys = at.groupBy("doc", *_KEY).agg(*[F.sum(c).alias(c) for c in ("base", "variant", "same", "agree_a", "only_a", "only_b", "moved_a", "changed_a")])
-    texts = pages.select("doc", "page", "text")
-    held = keys.join(texts, ["doc", "page"], "left").withColumn("_seen", witnessed(F.col("text")).cast("int"))
+    # a page is read once, not once for each of its rows
+    texts = pages.select("doc", "page", numbers_read(F.col("text")).alias("_read"))
+    held = keys.join(texts, ["doc", "page"], "left").withColumn("_seen", witnessed(F.col("_read")).cast("int"))
     some = lambda n, of: F.when(F.col(n) > 0, F.col(of) * F.col("_seen")).otherwise(0)
     rows = held.select(
         "doc", F.col("base").alias("rows_base"), F.col("variant").alias("rows_variant"), (F.col("same") + F.col("agree_a")).alias("agree"), F.col("same").alias("same_symbol"),

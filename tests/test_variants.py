@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from factloom.operators import variants
 
 ROW = "doc int, page int, symbol string, parameter string, min double, typ double, max double"
@@ -84,3 +86,17 @@ def test_side_counts(spark):
     assert sorted(tuple(r) for r in variants.register_counts(registers).collect()) == [(1, 2, 1, 2), (2, 1, 0, 0)]
     items = spark.createDataFrame([(1, "text", "x" * 30), (1, "text", "a normal line of some words"), (1, "page_header", "y" * 40), (1, "text", " ")], "doc int, label string, text string")
     assert [tuple(r) for r in variants.run_together_share(items).collect()] == [(1, 50.0)]
+
+
+def test_a_page_is_read_before_its_rows_meet_it(spark):
+    text = "3.3.1 and -2, 13.5 x7"
+    df = spark.createDataFrame([(text,)], "text string").select(variants.numbers_read(F.col("text")).alias("n"))
+    assert set(df.first().n) == {"3", "3.3", "3.3.1", "2", "-2", "13", "13.5", "7"}
+    rows = spark.createDataFrame([(1, 1, "a", None, float(i), None, None) for i in range(9)], ROW)
+    pages = spark.createDataFrame([(1, 1, text)], "doc int, page int, text string")
+    report = variants.report(rows, rows.limit(0), pages)
+    assert report.filter("doc = 1").first().witnessed_base == 3
+    # the numbers are taken from the pages below the join, and no row carries the text
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Join LeftOuter")]
+    assert "regexp_extract_all" not in joined and plan.count("regexp_extract_all") > 0
