@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import scalars
+
 #: Prefixes up to which they are literals of the plan.
 FEW_PREFIXES = 1_000
 
@@ -60,24 +59,33 @@ def kth_pairs(left: DataFrame, right: DataFrame, on: list[str], order: str) -> D
     return a.join(b, cond).drop("_k", "_r", *[f"_{c}" for c in on])
 
 
+def _greedy(xs: Column, ys: Column) -> Column:
+    """array of struct(a, b): the positions of each x and of the first free y with its symbol or label."""
+    like = lambda x, y: y["symbol"].eqNullSafe(x["symbol"]) | F.coalesce(y["label"] == x["label"], F.lit(False))
+
+    def take(state: Column, x: Column) -> Column:
+        free, out = state["free"], state["out"]
+        met = lambda y: F.concat(out, F.array(F.struct(x["pos"].alias("a"), y["pos"].alias("b"))))
+        found = lambda k: F.struct(F.concat(F.slice(free, F.lit(1), k), F.slice(free, k + 2, F.size(free))).alias("free"), met(F.get(free, k)).alias("out"))
+        first = F.array_position(F.transform(free, lambda y: like(x, y)), True).cast("int")
+        return scalars.once(first, lambda k: F.when(k > 0, found(k - 1)).otherwise(state))
+
+    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
+    return F.aggregate(xs, F.struct(ys.alias("free"), none.alias("out")), take, lambda state: state["out"])
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
     """(group, a, b): one to one within a group, in order; rows match on symbol or on the label's first 20 characters, and
-    on all of min, typ and max with at least one present. A group is a page, so a bounded table."""
-
-    def pair(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(y.sort_values("pos").itertuples()), []
-        value = lambda r: tuple(None if pd.isna(v) else v for v in (r.min, r.typ, r.max))
-        for r in x.sort_values("pos").itertuples():
-            v = value(r)
-            for k, o in enumerate(free):
-                if v != (None, None, None) and value(o) == v and (r.symbol == o.symbol or r.label[:20] == o.label[:20]):
-                    out.append((*key, r.pos, o.pos))
-                    del free[k]
-                    break
-        return pd.DataFrame(out, columns=[*group, "a", "b"])
-
-    schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in group) + ", a bigint, b bigint"
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(pair, schema)
+    on all of min, typ and max with at least one present. Rows of one position are in the order of symbol and label.
+
+    Rows of different values never compete, so lists are those of one page and its values, and no row leaves the JVM.
+    """
+    number = lambda df, c: F.nullif(F.col(c), F.lit(float("nan"))) if df.schema[c].dataType.simpleString() in ("float", "double") else F.col(c)
+    values, row = ["_min", "_typ", "_max"], F.struct(F.col("pos").cast("bigint").alias("pos"), "symbol", F.left("label", F.lit(20)).alias("label"))
+    side = lambda df, n: df.select(*group, *[number(df, v[1:]).alias(v) for v in values], F.lit(n).alias("_side"), row.alias("_row"))
+    rows = side(left, "x").unionByName(side(right, "y")).filter(F.coalesce(*values).isNotNull())
+    lists = rows.groupBy(*group, *values).agg(*[F.array_sort(F.collect_list(F.when(F.col("_side") == n, F.col("_row")))).alias(n) for n in "xy"])
+    return lists.filter((F.size("x") > 0) & (F.size("y") > 0)).select(*group, F.inline(_greedy(F.col("x"), F.col("y"))))
 
 
 def rewrite_links(df: DataFrame, text: str, key: str, names: DataFrame, pattern: str = r"\[\[([^\]|]+)") -> DataFrame:
