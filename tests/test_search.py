@@ -31,3 +31,15 @@ def test_the_best_equal_the_full_ranking_with_fewer_postings_read(spark):
     assert index.top(["nowhere"], 10).count() == 0 and index.read == 0
     # all of them, where as many are wanted
     assert index.top(["w40"], 10_000).count() == sum("w40" in (t or "").split() for _, t in texts)
+
+
+def test_an_index_is_cut_by_the_size_of_its_table(spark, tmp_path, monkeypatch):
+    from factloom.sources.database import shared_folder
+
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(i, f"w{i % 7} of the " * 20) for i in range(600)], "doc int, text string").coalesce(2).write.parquet(path)
+    size = sum(f.stat().st_size for f in tmp_path.glob("docs/*.parquet"))
+    monkeypatch.setattr(search, "TASK_BYTES", -(-size // 9), raising=False)
+    index = search.stored_index(spark, path, "doc")
+    assert index.filter("term = 'of'").count() == 600 * 20
+    assert shared_folder(spark) in index.inputFiles()[0] and len(index.inputFiles()) == 9
