@@ -17,10 +17,12 @@ from factloom.sources.database import scratch
 
 #: Documents of a block, blocks of the first round for each document that is wanted, and the weights' constants.
 BLOCK, AHEAD, K, B = 64, 2, 1.2, 0.75
+#: Tokens of a task that builds an index.
+TOKENS = 1_000_000
 
 
 class RankedIndex:
-    """Term weights of documents by term and block, and each block's largest, in a folder."""
+    """Term weights of documents by term and block, with each block's largest, in a folder."""
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path, key
@@ -28,22 +30,22 @@ class RankedIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: str = "text", path: str | None = None) -> RankedIndex:
-        """Written once; a document's terms are counted where its row is."""
+        """Written once. Texts are dealt by block, so that terms are counted and gathered by block where its texts are: no
+        posting moves between tasks, and a task has about TOKENS of them however large the table is."""
         spark = docs.sparkSession
         at = path or scratch(spark, "ranked")
-        words = docs.filter(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("_w")).withColumn("_n", F.size("_w"))
-        words.select(key, "_n").write.parquet(f"{at}/lengths")
-        lengths = spark.read.parquet(f"{at}/lengths")
-        n, mean = lengths.agg(F.count(F.lit(1)), F.avg("_n")).first()
+        texts = docs.filter(F.col(text).isNotNull()).select(key, text)
+        texts.select(key, F.size(tokens(F.col(text))).alias("_n")).write.parquet(f"{at}/lengths")
+        n, mean, total = spark.read.parquet(f"{at}/lengths").agg(F.count(F.lit(1)), F.avg("_n"), F.coalesce(F.sum("_n"), F.lit(0))).first()
         blocks = max(1, -(-n // BLOCK))
+        parts = max(spark.sparkContext.defaultParallelism, -(-total // TOKENS))
+        dealt = texts.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition(parts, "block")
+        words = dealt.select("block", key, tokens(F.col(text)).alias("_w")).withColumn("_n", F.size("_w"))
         f = F.col("count")
         weight = f * (K + 1) / (f + K * (1 - B + B * F.col("_n") / F.lit(mean or 1.0)))
-        counts = words.select(key, "_n", F.explode("_w").alias("term")).groupBy(key, "_n", "term").count()
-        rows = counts.select("term", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), key, weight.alias("weight"))
-        rows.repartition("term").sortWithinPartitions("term", "block").write.parquet(f"{at}/weights")
-        stored = spark.read.parquet(f"{at}/weights")
-        best = stored.groupBy("term", "block").agg(F.max("weight").alias("best"), F.count(F.lit(1)).alias("docs"))
-        best.sortWithinPartitions("term").write.parquet(f"{at}/blocks")
+        counts = words.select("block", key, "_n", F.explode("_w").alias("term")).groupBy("block", key, "_n", "term").count()
+        listed = counts.withColumn("weight", weight).groupBy("term", "block").agg(F.max("weight").alias("best"), F.count(F.lit(1)).alias("docs"), F.collect_list(F.struct(key, "weight")).alias("weights"))
+        listed.sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
         spark.createDataFrame([(n,)], "n long").coalesce(1).write.parquet(f"{at}/size")
         return cls(spark, at, key)
 
@@ -57,8 +59,8 @@ class RankedIndex:
         read is then the number of postings that were looked at.
         """
         terms = sorted(set(terms))
-        weights = self.spark.read.parquet(f"{self.path}/weights").filter(F.col("term").isin(terms))
         blocks = self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("term").isin(terms))
+        weights = blocks.select("term", "block", F.inline("weights"))
         n = self.spark.read.parquet(f"{self.path}/size").first().n
         held = {r.term: r.docs for r in blocks.groupBy("term").agg(F.sum("docs").alias("docs")).collect()}
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in held.items()}

@@ -43,3 +43,17 @@ def test_an_index_is_cut_by_the_size_of_its_table(spark, tmp_path, monkeypatch):
     index = search.stored_index(spark, path, "doc")
     assert index.filter("term = 'of'").count() == 600 * 20
     assert shared_folder(spark) in index.inputFiles()[0] and len(index.inputFiles()) == 9
+
+
+def test_a_ranked_index_moves_texts_and_no_postings(spark, tmp_path, monkeypatch):
+    from factloom.operators import ranked
+
+    monkeypatch.setattr(ranked, "TOKENS", 1000, raising=False)
+    docs = spark.createDataFrame([(i, f"w{i % 7} of the " * 20) for i in range(600)], "doc int, text string")
+    ranked.RankedIndex.build(docs, "doc", path=f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index/blocks")
+    # a block lies in one file, as its texts were dealt by it, and tasks are as many as the tokens need
+    files = stored.select("block", F.input_file_name().alias("f")).distinct()
+    assert files.groupBy("block").count().filter("count > 1").count() == 0
+    assert files.select("f").distinct().count() > 4
+    assert stored.agg(F.sum("docs")).first()[0] == 600 * 3
