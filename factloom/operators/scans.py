@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from factloom.sources.database import written
 
+#: Rows of a stretch: a task sorts a few stretches, whatever the number of rows.
+STRETCH = 250_000
 SET, CLEAR, DEFAULT, KEEP = "set", "clear", "default", "keep"
 
 
@@ -22,10 +24,11 @@ def pending(rows: DataFrame, key: str, order: list[str], step: Column, value: Co
 
     step: SET, CLEAR, DEFAULT or KEEP; value: of SET and DEFAULT. order is of unique values within a key.
     """
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.withColumns({"_step": step, "_value": value})
+    own = written(rows.withColumns({"_step": step, "_value": value}), "steps")
+    n = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // STRETCH))
     dealt = own.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id())
-    dealt = written(dealt, "stretches")
+    # as many tasks as stretches, so that none holds more of them where the rows are more
+    dealt = written(dealt, "stretches").repartition(n, "_part", key)
 
     stretch = Window.partitionBy("_part", key).orderBy(*order)
     earlier = stretch.rowsBetween(Window.unboundedPreceding, -1)

@@ -38,5 +38,7 @@ _TABLES = f"""select doc, seq, cast(q % 3 + 2 as int) as columns, case when p %
 select doc, seq, columns, address, mnemonic, coalesce(address, case when b.c = columns and mnemonic then b.a end) as layout from b""")
 def summary_layouts(spark: SparkSession, d: str) -> DataFrame:
     """The address column of register summaries, those that go on without a header included."""
-    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    # a task groups the rows of a stretch or two, not those of a file
+    lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // (2 * scans.STRETCH)))).createOrReplaceTempView("lineitem")
     return scans.summary_layouts(spark.sql(_TABLES))

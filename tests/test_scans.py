@@ -37,3 +37,12 @@ def test_sections_go_on(spark):
         (1, 1, 0): ("A", 1), (1, 1, 1): ("A", 1), (1, 3, 0): ("A", 1), (1, 3, 1): ("B", 3), (1, 5, 0): ("Unknown", 5), (1, 6, 0): ("Unknown", 5),
         (2, 1, 0): ("Unknown", 1), (2, 2, 0): ("C", 2), (2, 2, 1): ("D", 2), (2, 2, 2): ("D", 2), (2, 4, 0): ("E", 4),
     }
+
+
+def test_stretches_grow_in_number_and_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(scans, "STRETCH", 50, raising=False)
+    rows = [("hot", i, scans.SET if i % 10 == 0 else scans.KEEP, str(i)) for i in range(600)]
+    table = spark.createDataFrame(rows, "key string, n int, step string, value string")
+    met = scans.pending(table, "key", ["n"], table.step, table.value)
+    assert len({r._part for r in spark.read.parquet(*met.inputFiles()).select("_part").distinct().collect()}) == 12
+    assert {r.n: r.before for r in met.collect()} == {i: None if i == 0 else str((i - 1) // 10 * 10) for i in range(600)}
